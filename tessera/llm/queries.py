@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.confusables import consistent_form, look_alike_pairs
 from tessera.llm.similarity_clusters import cluster_pairs, describe_clusters
 from tessera.session import table
 
@@ -16,6 +17,15 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(table(spark, d, "colorfit_objects"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_pairs(table(spark, d, "caption_catalog"), table(spark, d, "subtitles").select("sub_id", "text"))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every caption in its consistent form."""
+    return consistent_form(table(spark, d, "subtitles"), "sub_id", "text").select("sub_id", "form")
+
+
 SQL: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_forms)}
