@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.confusables import consistent_form, look_alike_pairs
+from tessera.llm.mojibake import garbled_rows
 from tessera.llm.similarity_clusters import cluster_pairs, describe_clusters
 from tessera.session import table
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_rows(table(spark, d, "subtitles"), table(spark, d, "caption_catalog"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("sub_id").distinct()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled captions with the text as it was written, as far as it can be recovered."""
+    return _garbled(spark, d)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cluster_pairs(table(spark, d, "colorfit_objects"))
 
@@ -28,4 +42,4 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
 
 SQL: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p4_forms)}
