@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.confusables import consistent_form, look_alike_pairs
+from tessera.llm.markup import strip_markup
 from tessera.llm.mojibake import garbled_rows
 from tessera.llm.similarity_clusters import cluster_pairs, describe_clusters
 from tessera.session import table
@@ -40,6 +41,19 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(table(spark, d, "subtitles"), "sub_id", "text").select("sub_id", "form")
 
 
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    return strip_markup(table(spark, d, "subtitles").select("sub_id", "text"), "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d).select("sub_id").distinct()
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of the captions that held markup."""
+    return _marked(spark, d).select("sub_id", "clean").distinct()
+
+
 SQL: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p4_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p4_forms, p6_found, p6_clean)}
