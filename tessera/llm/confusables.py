@@ -87,35 +87,48 @@ _SETTLED = r"\A[\x00-\x7f\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027\u2030-\u205e\u2
 _EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
 
 
-def consistent_form(rows: DataFrame, key: str, text: str, out: str = "form") -> DataFrame:
-    """(key, text, out) for each distinct pair of key and text, with the text in its consistent form.
-
-    Null keys and null texts are kept, a null text has a null form, an empty text an empty one; repeated rows count once; other columns
-    are dropped. Texts are processed whole; a text's code points stay in the task of its key, so that nothing but the texts is shuffled.
-    """
-    spark = rows.sparkSession
+def _split(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose text is in its form already, and the distinct other ones."""
     rows = rows.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     settled = F.coalesce(F.col("_t").rlike(_SETTLED), F.lit(True))
-    plain = rows.filter(settled).distinct().select("_k", "_t", F.col("_t").alias("_f"))
-    rest = rows.filter(~settled).distinct()
+    return rows.filter(settled).select("_k", "_t", F.col("_t").alias("_f")), rows.filter(~settled).distinct()
+
+
+def _formed(rest: DataFrame) -> DataFrame:
+    """(_k, _t, _f) of distinct rows: exploded to code points, mapped, rebuilt in the task of their key, and composed."""
     # joiners and style marks inside emoji are visible: they are set aside, and come back in the end
     guarded: Column = F.regexp_replace("_t", rf"(?<={_EMOJI}|{_EMOJI}\x{{FE0F}})\x{{200D}}(?={_EMOJI})", _JOINER)
     guarded = F.regexp_replace(guarded, rf"(?<={_EMOJI})\x{{FE0F}}", _EMOJI_STYLE)
     chars = rest.select("_k", "_t", F.posexplode(F.split(guarded, "")).alias("pos", "ch"))
-    mapped = chars.join(F.broadcast(form_table(spark)), "ch", "left").select("_k", "_t", "pos", F.coalesce("form", "ch").alias("f"))
+    mapped = chars.join(F.broadcast(form_table(rest.sparkSession)), "ch", "left").select("_k", "_t", "pos", F.coalesce("form", "ch").alias("f"))
     built = mapped.groupBy("_k", "_t").agg(F.collect_list(F.struct("pos", "f")).alias("fs"))
-    joined = F.expr("array_join(transform(array_sort(fs), x -> x.f), '')")
-    joined = F.translate(joined, _JOINER + _EMOJI_STYLE, "\u200d\ufe0f")
-    built = built.select("_k", "_t", joined.alias("_f"))
-    done = plain.unionByName(built.select("_k", "_t", _compose("_f").alias("_f")))
+    joined = F.translate(F.expr("array_join(transform(array_sort(fs), x -> x.f), '')"), _JOINER + _EMOJI_STYLE, "\u200d\ufe0f")
+    return built.select("_k", "_t", _compose(joined).alias("_f"))
+
+
+def consistent_form(rows: DataFrame, key: str, text: str, out: str = "form") -> DataFrame:
+    """(key, text, out) for each distinct pair of key and text, with the text in its consistent form.
+
+    Null keys and null texts are kept, a null text has a null form, an empty text an empty one; repeated rows count once; other columns
+    are dropped. Texts are processed whole; a text's code points stay in the task of its key, so that nothing but the texts is shuffled.
+    """
+    plain, rest = _split(rows, key, text)
+    done = plain.distinct().unionByName(_formed(rest))
     return done.select(F.col("_k").alias(key), F.col("_t").alias(text), F.col("_f").alias(out))
 
 
+#: Lines with at most this many bytes of text are broadcast; beyond it, both sides are shuffled by their form.
+BROADCAST_BYTES = 8_000_000
+
+
 def look_alike_pairs(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(line_id, sub_id): pairs whose texts look the same but aren't equal.
 
     ``lines`` has line_id and text, ``texts`` sub_id and text. Re-delivered rows count once; null and empty texts form no pair.
     """
     a = consistent_form(lines, "line_id", "text").select("line_id", F.col("text").alias("line_text"), "form")
-    b = consistent_form(texts, "sub_id", "text")
-    return a.join(b, "form").filter("text <> line_text AND form <> ''").select("line_id", "sub_id").distinct()
+    size = lines.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    a = F.broadcast(a) if size <= BROADCAST_BYTES else a
+    plain, rest = _split(texts, "sub_id", "text")
+    pairs = [b.join(a, b["_f"] == a["form"]).filter("_t <> line_text AND form <> ''").select("line_id", F.col("_k").alias("sub_id")) for b in (plain, _formed(rest))]
+    return pairs[0].unionByName(pairs[1]).distinct()
