@@ -47,7 +47,7 @@ def script_of(s: str) -> str | None:
     cyr, jap = len(_CYRILLIC.findall(s)), len(_JAPANESE.findall(s))
     if jap * 3 >= n:  # a sign of these says more than a letter
         return "Japanese"
-    return "Cyrillic" if cyr * 2 >= n else "Latin"
+    return "Cyrillic" if cyr * 5 >= n * 2 else "Latin"
 
 
 class Classifier:

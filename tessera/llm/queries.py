@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.confusables import consistent_form, look_alike_pairs
+from tessera.llm.langid import fit, identify, label_code, languages_of
 from tessera.llm.markup import strip_markup
 from tessera.llm.mojibake import garbled_rows
+from tessera.llm.mixing import mix, quality_weight, shares
+from tessera.llm.packing import pack, usage
 from tessera.llm.similarity_clusters import cluster_pairs, describe_clusters
+from tessera.llm.tokens import with_tokens
 from tessera.session import table
 
 
@@ -54,6 +59,62 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).select("sub_id", "clean").distinct()
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "tokens")
+    return pack(docs, table(spark, d, "pack_limits"), "doc_id", "tokens")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every document, or of every piece of one above the capacity, for each pack."""
+    return _packed(spark, d)
+
+
+def p7_usage(spark: SparkSession, d: str) -> DataFrame:
+    return usage(_packed(spark, d), table(spark, d, "pack_limits"))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    docs = with_tokens(table(spark, d, "documents").select("doc_id", "source", "text", "align_score"), "text")
+    return mix(docs.select(F.col("doc_id").alias("id"), "source", "tokens", quality_weight(F.col("align_score")).alias("weight")), table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen documents and how often each is used."""
+    return _mixed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+def _identified(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    contents, scripts = fit(docs, table(spark, d, "caption_catalog"), table(spark, d, "languages"))
+    return identify(docs, "text", contents, scripts), sorted(scripts)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, codes = _identified(spark, d)
+    found = docs.select("doc_id", label_code(F.col("lang"), codes).alias("label"), F.explode(languages_of()).alias("lang"))
+    return found.filter("NOT (lang <=> label)").select("doc_id", "lang")
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Language of each document, its confidence and whether the text mixes languages; the language is that of most characters."""
+    docs, _ = _identified(spark, d)
+    parts = "filter(segments, x -> x.lang IS NOT NULL)"
+    share = f"transform(languages, l -> struct(aggregate(filter({parts}, x -> x.lang = l), 0, (a, x) -> a + x.end - x.start) AS chars, l AS lang))"
+    docs = docs.withColumn("languages", F.expr(f"array_distinct(transform({parts}, x -> x.lang))")).withColumn("best", F.expr(f"array_max({share})"))
+    conf = f"aggregate(filter({parts}, x -> x.lang = best.lang), 0.0D, (a, x) -> a + x.confidence * (x.end - x.start)) / best.chars"
+    return docs.select("doc_id", F.col("best.lang").alias("lang"), F.expr(f"round({conf}, 4)").alias("confidence"), F.expr("size(languages) > 1").alias("mixed"))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs, _ = _identified(spark, d)
+    s = docs.select("doc_id", F.posexplode("segments").alias("segment_no", "s"))
+    return s.select("doc_id", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.round("s.confidence", 4).alias("confidence"))
+
+
 SQL: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p4_forms, p6_found, p6_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p4_forms, p6_found, p6_clean, p7_containers, p7_usage, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)}
