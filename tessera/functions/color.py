@@ -6,7 +6,7 @@ generation. Floats are double precision. Nulls give nulls.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Reference white D65 and the matrices between linear sRGB and XYZ.
@@ -178,34 +178,69 @@ def hyab(a: Three, b: Three) -> Column:
     return (F.sqrt(da * da + db * db) + F.abs(dl)) / 2.414213562
 
 
-def ciede2000(a: Three, b: Three) -> Column:
-    """CIE Delta E 2000 with unit parametric factors, after the published formula."""
-    import math
-
-    pi = math.pi
-    seven = lambda x: F.pow(x, F.lit(7.0))
-    cap = 25.0**7
-    mean_c = (F.hypot(a[1], a[2]) + F.hypot(b[1], b[2])) / 2
-    g = (F.lit(1.0) - F.sqrt(seven(mean_c) / (seven(mean_c) + cap))) * 0.5 + 1
-    a1, b1 = a[1] * g, b[1] * g
-    c1, c2 = F.hypot(a1, a[2]), F.hypot(b1, b[2])
-    hue = lambda y, x: F.atan2(y, x) + F.when(F.atan2(y, x) < 0, 2 * pi).otherwise(0.0)
-    h1, h2 = hue(a[2], a1), hue(b[2], b1)
-    apart = F.abs(h2 - h1) > pi
-    mean_h = (h1 + h2) / 2 + F.when(apart, pi).otherwise(0.0)
-    half = (h2 - h1) / 2
-    half = half + F.when(apart, F.when(half > 0, pi).otherwise(-pi)).otherwise(0.0)
-    mc = (c1 + c2) / 2
-    p = mean_h * 36 - 55 * pi
-    rt = F.sqrt(seven(mc) / (seven(mc) + cap)) * -2.0 * F.sin(F.exp(p * p / (-25.0 * pi * pi)) * (pi / 3))
-    ml = F.pow((a[0] + b[0]) / 2 - 50, F.lit(2.0))
-    dl = (b[0] - a[0]) / (ml * 0.015 / F.sqrt(ml + 20) + 1)
-    t = F.lit(1.0) + F.sin(mean_h * 2 + pi / 2) * 0.24 + F.sin(mean_h * 3 + 8 * pi / 15) * 0.32 - F.sin(mean_h + pi / 3) * 0.17 - F.sin(mean_h * 4 + 3 * pi / 20) * 0.20
-    dh = F.sqrt(c1 * c2) * 2 * F.sin(half) / (mc * 0.015 * t + 1)
-    dc = (c2 - c1) / (mc * 0.045 + 1)
-    return F.sqrt(dl * dl + dh * dh + dc * dc + dc * dh * rt)
-
-
 def psnr(mean_error: Column) -> Column:
     """Peak signal-to-noise ratio in dB of a mean distance in 0..1; infinite for equal images."""
     return F.when(mean_error == 0, F.lit(float("inf"))).otherwise(F.log10(F.lit(1.0) / mean_error) * 10)
+
+
+# --- chains of conversions, one projection for each step, so that no step's expression is repeated within the next ---------
+
+
+def with_lab(df: DataFrame, value: str, prefix: str) -> DataFrame:
+    """Add L*a*b* of a packed colour, linearised first, as columns ``{prefix}l``, ``{prefix}a``, ``{prefix}b``."""
+    t = [f"_{prefix}{i}" for i in range(3)]
+    df = df.withColumns(dict(zip(t, to_rgbf(F.col(value)))))
+    df = df.withColumns(dict(zip(t, to_linear(tuple(F.col(x) for x in t)))))
+    f = [x / F.lit(w) for x, w in zip(_mul(RGB_TO_XYZ, tuple(F.col(x) for x in t)), WHITE)]
+    df = df.withColumns(dict(zip(t, f)))
+    df = df.withColumns({x: F.when(F.col(x) > EPSILON, F.pow(x, F.lit(1.0 / 3.0))).otherwise((F.col(x) * KAPPA + 16.0) / 116.0) for x in t})
+    fx, fy, fz = (F.col(x) for x in t)
+    return df.withColumns({f"{prefix}l": fy * 116.0 - 16.0, f"{prefix}a": (fx - fy) * 500.0, f"{prefix}b": (fy - fz) * 200.0}).drop(*t)
+
+
+def with_packed_of_lab(df: DataFrame, lab: tuple[str, str, str], out: str) -> DataFrame:
+    """Add the packed colour of L*a*b* columns."""
+    t = [f"_{out}{i}" for i in range(3)]
+    y = (F.col(lab[0]) + 16.0) / 116.0
+    df = df.withColumns(dict(zip(t, (F.col(lab[1]) / 500.0 + y, y, y - F.col(lab[2]) / 200.0))))
+    df = df.withColumns({x: F.when(F.col(x) > 6.0 / 29.0, F.col(x) * F.col(x) * F.col(x)).otherwise((F.col(x) * 116.0 - 16.0) / KAPPA) * w for x, w in zip(t, WHITE)})
+    lin = _mul(XYZ_TO_RGB, tuple(F.col(x) for x in t))
+    df = df.withColumns({x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) for x, v in zip(t, lin)})
+    df = df.withColumns(dict(zip(t, to_srgb(tuple(F.col(x) for x in t)))))
+    return df.withColumn(out, from_rgbf(tuple(F.col(x) for x in t))).drop(*t)
+
+
+def with_ciede2000(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Add CIE Delta E 2000 of two L*a*b* colours with these prefixes, with unit parametric factors, after the published formula."""
+    import math
+
+    pi, cap = math.pi, 25.0**7
+    c = F.col
+    seven = lambda x: F.pow(x, F.lit(7.0))
+    keep = [*df.columns, out]
+    df = df.withColumn("_mc", (F.hypot(f"{a}a", f"{a}b") + F.hypot(f"{b}a", f"{b}b")) / 2)
+    df = df.withColumn("_g", (F.lit(1.0) - F.sqrt(seven(c("_mc")) / (seven(c("_mc")) + cap))) * 0.5 + 1)
+    df = df.withColumns({"_x1": c(f"{a}a") * c("_g"), "_x2": c(f"{b}a") * c("_g")})
+    df = df.withColumns({"_c1": F.hypot("_x1", f"{a}b"), "_c2": F.hypot("_x2", f"{b}b"), "_h1": F.atan2(f"{a}b", "_x1"), "_h2": F.atan2(f"{b}b", "_x2")})
+    df = df.withColumns({h: c(h) + F.when(c(h) < 0, 2 * pi).otherwise(0.0) for h in ("_h1", "_h2")})
+    df = df.withColumns({"_apart": F.abs(c("_h2") - c("_h1")) > pi, "_half": (c("_h2") - c("_h1")) / 2, "_mc": (c("_c1") + c("_c2")) / 2})
+    df = df.withColumns(
+        {
+            "_mh": (c("_h1") + c("_h2")) / 2 + F.when(c("_apart"), pi).otherwise(0.0),
+            "_half": c("_half") + F.when(c("_apart"), F.when(c("_half") > 0, pi).otherwise(-pi)).otherwise(0.0),
+            "_ml": F.pow((c(f"{a}l") + c(f"{b}l")) / 2 - 50, F.lit(2.0)),
+        }
+    )
+    mh, mc = c("_mh"), c("_mc")
+    p = mh * 36 - 55 * pi
+    t = F.lit(1.0) + F.sin(mh * 2 + pi / 2) * 0.24 + F.sin(mh * 3 + 8 * pi / 15) * 0.32 - F.sin(mh + pi / 3) * 0.17 - F.sin(mh * 4 + 3 * pi / 20) * 0.20
+    df = df.withColumns(
+        {
+            "_rt": F.sqrt(seven(mc) / (seven(mc) + cap)) * -2.0 * F.sin(F.exp(p * p / (-25.0 * pi * pi)) * (pi / 3)),
+            "_dl": (c(f"{b}l") - c(f"{a}l")) / (c("_ml") * 0.015 / F.sqrt(c("_ml") + 20) + 1),
+            "_dh": F.sqrt(c("_c1") * c("_c2")) * 2 * F.sin("_half") / (mc * 0.015 * t + 1),
+            "_dc": (c("_c2") - c("_c1")) / (mc * 0.045 + 1),
+        }
+    )
+    dl, dh, dc = c("_dl"), c("_dh"), c("_dc")
+    return df.withColumn(out, F.sqrt(dl * dl + dh * dh + dc * dc + dc * dh * c("_rt"))).select(*keep)

@@ -208,9 +208,8 @@ def ycgco(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CHANNELS}, {_F}, {_LINEAR}, {_LAB} SELECT object_id, round(L, 4) AS l, round(a, 4) AS a, round(bb, 4) AS b, xrgb AS back FROM lab")
 def cielab(spark: SparkSession, d: str) -> DataFrame:
     """L*a*b* of the linearised colours, and the colour that comes back."""
-    lab = C.to_lab(C.to_linear(C.to_rgbf(F.col("xrgb"))))
-    zero = lambda c: F.round(c, 4) + F.lit(0.0)
-    return colours(spark, d).select("object_id", zero(lab[0]).alias("l"), zero(lab[1]).alias("a"), zero(lab[2]).alias("b"), C.from_rgbf(C.to_srgb(C.from_lab(lab))).alias("back"))
+    df = C.with_packed_of_lab(C.with_lab(colours(spark, d), "xrgb", "m"), ("ml", "ma", "mb"), "back")
+    return df.select("object_id", *((F.round(f"m{c}", 4) + F.lit(0.0)).alias(c) for c in "lab"), "back")
 
 
 @query(f"WITH {_CHANNELS}, {_F}, {_LINEAR} SELECT object_id, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b, xrgb AS back FROM l")
@@ -251,29 +250,30 @@ n AS (SELECT object_id, run_id, L, a, bb, lead(L) OVER w L2, lead(a) OVER w a2,
 h AS (SELECT run_id, object_id, (sqrt(pow((a - a2) / 255, 2) + pow((bb - b2) / 255, 2)) + abs(L - L2) / 100) / 2.414213562 d FROM n WHERE L2 IS NOT NULL)"""
 
 
-def _lab_pairs(spark: SparkSession, d: str):
-    lab = lambda c: C.to_lab(C.to_linear(C.to_rgbf(F.col(c))))
-    return _pairs(spark, d), lab("xrgb"), lab("nx")
+def _lab_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """L*a*b* of each colour (x) and of the next one of its run (y)."""
+    return C.with_lab(C.with_lab(_pairs(spark, d), "xrgb", "x"), "nx", "y")
+
+
+def _hyab():
+    return C.hyab(tuple(F.col(f"x{c}") for c in "lab"), tuple(F.col(f"y{c}") for c in "lab"))
 
 
 @query(_LAB2 + " SELECT object_id, round(d, 5) AS hyab FROM h")
 def hyab_distance(spark: SparkSession, d: str) -> DataFrame:
-    p, a, b = _lab_pairs(spark, d)
-    return p.select("object_id", F.round(C.hyab(a, b), 5).alias("hyab"))
+    return _lab_pairs(spark, d).select("object_id", F.round(_hyab(), 5).alias("hyab"))
 
 
 @query(_LAB2 + " SELECT run_id, round(avg(d), 6) AS mse, round(10 * log10(1 / avg(d)), 4) AS psnr, bool_and(d < 0.2) AS below FROM h GROUP BY run_id HAVING avg(d) > 0")
 def run_psnr(spark: SparkSession, d: str) -> DataFrame:
     """Mean distance of neighbours in a run, its ratio in dB, and whether all lie below a threshold."""
-    p, a, b = _lab_pairs(spark, d)
-    m = p.select("run_id", C.hyab(a, b).alias("d")).groupBy("run_id").agg(F.avg("d").alias("m"), F.every(F.col("d") < 0.2).alias("below")).filter("m > 0")
+    m = _lab_pairs(spark, d).select("run_id", _hyab().alias("d")).groupBy("run_id").agg(F.avg("d").alias("m"), F.every(F.col("d") < 0.2).alias("below")).filter("m > 0")
     return m.select("run_id", F.round("m", 6).alias("mse"), F.round(C.psnr(F.col("m")), 4).alias("psnr"), "below")
 
 
 @query()
 def ciede2000(spark: SparkSession, d: str) -> DataFrame:
-    p, a, b = _lab_pairs(spark, d)
-    return p.select("object_id", F.round(C.ciede2000(a, b), 4).alias("delta_e"))
+    return C.with_ciede2000(_lab_pairs(spark, d), "x", "y", "e").select("object_id", F.round("e", 4).alias("delta_e"))
 
 
 @query("WITH g AS (SELECT range v FROM range({0})) SELECT CAST(v AS INTEGER) AS word, CAST(255 * (v >> 10) // 31 * 65536 + 255 * ((v >> 5) & 31) // 31 * 256 + 255 * (v & 31) // 31 AS INTEGER) AS xrgb FROM g".format(32768))
@@ -390,8 +390,7 @@ def convert_paletted(spark: SparkSession, d: str) -> DataFrame:
     """Each run reduced to at most 16 colours on the 5-5-5 grid: colours, palette size and error in dB."""
     c = colours(spark, d)
     m = P.reduce_frames(c, "run_id", "xrgb", 16)
-    lab = lambda x: C.to_lab(C.to_linear(C.to_rgbf(F.col(x))))
-    j = c.join(m, ["run_id", "xrgb"]).withColumn("dd", C.hyab(lab("xrgb"), lab("target")))
+    j = C.with_lab(C.with_lab(c.join(m, ["run_id", "xrgb"]), "xrgb", "x"), "target", "y").withColumn("dd", _hyab())
     return j.groupBy("run_id").agg(F.count("*").alias("pixels"), F.countDistinct("target").alias("palette_size"), F.round(C.psnr(F.avg("dd")), 3).alias("psnr"))
 
 
