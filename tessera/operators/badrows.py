@@ -51,10 +51,14 @@ def min_cost_parse(record: str, columns: int = 4, delimiter: str = ",") -> tuple
     """Cheapest parse of a record into ``columns`` fields.
 
     Returns the fields, the number of edits that mend quoting, the number that mend the field count, and the
-    edits as text, such as ``insert quote at 12``. Cells of the program are (position, state, fields so far);
-    two cost layers are kept, and back pointers for the whole record.
+    edits as text, such as ``insert quote at 12``. Cells of the program are (position, state, fields so far); positions
+    are those between quotes, delimiters and the stretches of other characters, within which no edit can be of use.
     """
-    n = len(record)
+    tokens = re.findall(rf'["{re.escape(delimiter)}]|[^"{re.escape(delimiter)}]+', record)
+    places = [0]
+    for t in tokens:
+        places.append(places[-1] + len(t))
+    n = len(tokens)
     full = columns - 1
     width = 4 * columns
     start = 0 * columns  # state _START, no field ended
@@ -68,7 +72,8 @@ def min_cost_parse(record: str, columns: int = 4, delimiter: str = ",") -> tuple
 
     def inserts(cost: list[float], i: int, ptr: dict[int, tuple]) -> None:
         """Moves that read nothing: they lead from one cell of a position to another one of it."""
-        nxt = record[i] if i < n else None
+        nxt = tokens[i] if i < n else None
+        where = places[i]
         for _ in range(2):
             for k in range(columns):
                 for state in (_START, _PLAIN, _QUOTED, _CLOSED):
@@ -81,18 +86,19 @@ def min_cost_parse(record: str, columns: int = 4, delimiter: str = ",") -> tuple
                         t, w = at(_START, k + 1), c + (_QUOTING if mends else 1)
                         if w < cost[t]:
                             cost[t] = w
-                            ptr[t] = (at(state, k), "insert delimiter", i, mends)
+                            ptr[t] = (at(state, k), "insert delimiter", where, mends)
                     # insert a quote: it opens a field or closes one
                     if state in (_START, _QUOTED):
                         t, w = at(_QUOTED if state == _START else _CLOSED, k), c + _QUOTING
                         if w < cost[t]:
                             cost[t] = w
-                            ptr[t] = (at(state, k), "insert quote", i, True)
+                            ptr[t] = (at(state, k), "insert quote", where, True)
 
     ptr0: dict[int, tuple] = {}
     inserts(cost, 0, ptr0)
     inner = [ptr0]
-    for i, ch in enumerate(record):
+    for i, ch in enumerate(tokens):
+        where = places[i]
         new: list[float] = [inf] * width
         ptr: dict[int, tuple] = {}
 
@@ -109,25 +115,25 @@ def min_cost_parse(record: str, columns: int = 4, delimiter: str = ",") -> tuple
                 here = at(state, k)
                 if ch == '"':
                     if state == _START:
-                        go(at(_QUOTED, k), c, (here, None, i, False))
+                        go(at(_QUOTED, k), c, (here, None, where, False))
                     elif state == _QUOTED:
-                        go(at(_CLOSED, k), c, (here, None, i, False))
+                        go(at(_CLOSED, k), c, (here, None, where, False))
                     elif state == _CLOSED:  # a doubled quote
-                        go(at(_QUOTED, k), c, (here, "doubled", i, False))
-                    go(here, c + _QUOTING, (here, "delete quote", i, True))
+                        go(at(_QUOTED, k), c, (here, "doubled", where, False))
+                    go(here, c + _QUOTING, (here, "delete quote", where, True))
                 elif ch == delimiter:
                     if state == _QUOTED:
-                        go(here, c, (here, None, i, False))
+                        go(here, c, (here, None, where, False))
                     else:
                         if k < full:
-                            go(at(_START, k + 1), c, (here, None, i, False))
+                            go(at(_START, k + 1), c, (here, None, where, False))
                         # the fields on both sides become one; its second part is read like a field's start
-                        go(at(_START, k), c + 1, (here, "delete delimiter", i, False))
+                        go(at(_START, k), c + 1, (here, "delete delimiter", where, False))
                 else:
                     if state in (_START, _PLAIN):
-                        go(at(_PLAIN, k), c, (here, None, i, False))
+                        go(at(_PLAIN, k), c, (here, None, where, False))
                     elif state == _QUOTED:
-                        go(here, c, (here, None, i, False))
+                        go(here, c, (here, None, where, False))
         more: dict[int, tuple] = {}
         inserts(new, i + 1, more)
         back.append(ptr)
@@ -155,7 +161,7 @@ def min_cost_parse(record: str, columns: int = 4, delimiter: str = ",") -> tuple
             quotes, delimiters = quotes + bool(mends), delimiters + (not mends)
         else:
             state, k = divmod(cell, columns)
-            ch = record[i]
+            ch = tokens[i]
             if what == "doubled" or ch not in ('"', delimiter) or ch == delimiter and state == _QUOTED:
                 pieces[k].append(ch)
         cell = prev
