@@ -20,7 +20,7 @@ from tessera.operators import tiles as G
 from tessera.plans.adapters import blocks, colours, document_bytes, frames, palette, payloads, tiles
 from tessera.plans.frame_queries import _BYTES, _COLOURS, _FRAMES, _PALETTE
 from tessera.session import table
-from tessera.sources.srt import parse_srt, srt_cue, srt_time
+from tessera.sources.srt import escape_text, parse_srt, srt_cue, srt_time
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -359,10 +359,12 @@ def presentation_times(spark: SparkSession, d: str) -> DataFrame:
 m AS (SELECT sub_id, CAST(round(start_s * 1000) AS BIGINT) a, CAST(round(end_s * 1000) AS BIGINT) b FROM s)
 SELECT sub_id, printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) AS start_text, printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) AS end_text, true AS back FROM m WHERE b > a""")
 def srt_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Captions written as SubRip cues and read again."""
+    """Captions written as SubRip cues and read again: whether each gives one cue with its times and its whole text."""
     ok = "start_s >= 0 AND end_s > start_s AND NOT isnan(start_s) AND NOT isnan(end_s) AND end_s < 360000 AND text IS NOT NULL AND round(end_s * 1000) > round(start_s * 1000)"
-    s = table(spark, d, "subtitles").filter(ok).select("sub_id", "start_s", "end_s", "text").distinct()
-    s = s.withColumn("file", srt_cue(F.lit(1), F.col("start_s"), F.col("end_s"), F.lit("x")))
-    c = parse_srt(s, "sub_id", "file").select("sub_id", F.col("start_s").alias("a"), F.col("end_s").alias("b"), "ok")
-    j = s.join(c, "sub_id")
-    return j.select("sub_id", srt_time(F.col("start_s")).alias("start_text"), srt_time(F.col("end_s")).alias("end_text"), (F.col("ok") & (F.abs(F.col("a") - F.col("start_s")) < 0.00051) & (F.abs(F.col("b") - F.col("end_s")) < 0.00051)).alias("back"))
+    keys = ["sub_id", "start_s", "end_s", "text"]
+    s = table(spark, d, "subtitles").filter(ok).select(*keys).distinct().select("sub_id", F.col("start_s").alias("a"), F.col("end_s").alias("b"), F.col("text").alias("t"))
+    s = s.withColumn("file", srt_cue(F.lit(1), F.col("a"), F.col("b"), escape_text(F.col("t"))))
+    c = parse_srt(s, ["sub_id", "a", "b", "t"], "file", escaped=True)
+    same = F.col("ok") & (F.abs(F.col("a") - F.col("start_s")) < 0.00051) & (F.abs(F.col("b") - F.col("end_s")) < 0.00051) & (F.col("t") == F.col("text"))
+    j = c.groupBy("sub_id", "a", "b", "t").agg((F.bool_and(F.coalesce(same, F.lit(False))) & (F.count("*") == 1)).alias("back"))
+    return j.select("sub_id", srt_time(F.col("a")).alias("start_text"), srt_time(F.col("b")).alias("end_text"), "back")

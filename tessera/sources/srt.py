@@ -14,21 +14,40 @@ def _seconds(cue: Column, first: int) -> Column:
     return g(0) * 3600 + g(1) * 60 + g(2) + g(3) / 1000
 
 
-def parse_srt(files: DataFrame, key: str = "path", text: str = "value") -> DataFrame:
-    """(key, sub_idx, start_s, end_s, text, ok) of every cue of whole-file texts.
+def escape_text(text: Column) -> Column:
+    r"""Text that a cue carries unchanged: ``\\`` for a backslash, ``\r`` for a carriage return, and ``\|`` where a line is empty, and before and after blanks at its ends.
+
+    SubRip ends a cue at a blank line and its readers trim lines; without the marks such texts come back cut.
+    """
+    t = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\r"), F.lit("\\r"))
+    guard = lambda x: F.concat(F.when(x.rlike(r"\A([ \t]|\z)"), "\\|").otherwise(""), x, F.when(x.rlike(r"[ \t]\z"), "\\|").otherwise(""))
+    return F.array_join(F.transform(F.split(t, "\n"), guard), "\n")
+
+
+def unescape_text(text: Column) -> Column:
+    """Text before ``escape_text``."""
+    part = lambda x: F.replace(F.replace(x, F.lit("\\|"), F.lit("")), F.lit("\\r"), F.lit("\r"))
+    return F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
+
+
+def parse_srt(files: DataFrame, key: str | list[str] = "path", text: str = "value", escaped: bool = False) -> DataFrame:
+    """(key, sub_idx, start_s, end_s, text, ok) of every cue of whole-file texts; ``escaped`` takes back ``escape_text``.
 
     Lines are trimmed and runs of blank lines are one; ``sub_idx`` counts from 0 in file order. ``ok`` is false where the index is zero, a time is missing or the end isn't after the
     start; such a cue has null times. Null and empty files give no cue.
     """
     t = F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"[ \t]*\n[ \t]*", "\n")
     cues = F.filter(F.split(F.regexp_replace(t, "^﻿", ""), r"\n{2,}"), lambda c: F.trim(F.regexp_replace(c, "\n", " ")) != "")
-    c = files.select(F.col(key), F.posexplode(cues).alias("sub_idx", "_c")).withColumn("_m", F.col("_c").rlike(_CUE))
+    keys = [key] if isinstance(key, str) else key
+    c = files.select(*keys, F.posexplode(cues).alias("sub_idx", "_c")).withColumn("_m", F.col("_c").rlike(_CUE))
     start, end = _seconds(F.col("_c"), 2), _seconds(F.col("_c"), 6)
     ok = F.col("_m") & (F.regexp_extract("_c", _CUE, 1).cast("long") > 0)
     c = c.withColumns({"start_s": F.when(ok, start), "end_s": F.when(ok, end)})
     good = ok & (F.col("end_s") > F.col("start_s"))
     body = F.trim(F.when(F.col("_m"), F.regexp_replace(F.regexp_extract("_c", _CUE, 10), r"\n+\z", "")).otherwise(F.col("_c")))
-    return c.select(key, "sub_idx", F.when(good, F.col("start_s")).alias("start_s"), F.when(good, F.col("end_s")).alias("end_s"), body.alias("text"), F.coalesce(good, F.lit(False)).alias("ok"))
+    if escaped:
+        body = unescape_text(body)
+    return c.select(*keys, "sub_idx", F.when(good, F.col("start_s")).alias("start_s"), F.when(good, F.col("end_s")).alias("end_s"), body.alias("text"), F.coalesce(good, F.lit(False)).alias("ok"))
 
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
@@ -45,5 +64,5 @@ def srt_time(seconds: Column) -> Column:
 
 
 def srt_cue(number: Column, start: Column, end: Column, text: Column) -> Column:
-    """Text of one cue."""
+    """Text of one cue; a text with blank lines, carriage returns, or blanks at line ends needs ``escape_text``."""
     return F.concat(number.cast("string"), F.lit("\n"), srt_time(start), F.lit(" --> "), srt_time(end), F.lit("\n"), text, F.lit("\n"))
