@@ -7,7 +7,7 @@ with a little-endian word of ``size << 8 | marker``; sizes are limited to 2^24 -
 from __future__ import annotations
 
 import struct
-from collections import defaultdict
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +23,8 @@ LZSS_MIN, LZSS_MAX, LZSS_FAR = 3, 18, 4096
 RANS_BITS, RANS_LOW = 14, 1 << 23
 RANS_SINGLE, RANS_TABLE = 0x00, 0x40
 LIMIT = 1 << 24
-#: Earlier places with the same first bytes that are tried for a match, newest first.
-CHAIN = 64
+#: Longest match of each stored size of an LZ4 length below LZ4_MAX.
+LZ4_STEPS = (17, 272, 527, 782)
 
 
 class CodecError(ValueError):
@@ -51,53 +51,85 @@ def _pad(out: bytearray) -> bytes:
     return bytes(out)
 
 
+def suffix_order(data: bytes, depth: int) -> np.ndarray:
+    """Positions in the order of the texts that begin there, compared over ``depth`` bytes at least; ties in order of position."""
+    n = len(data)
+    a = np.zeros(n + 8, np.uint64)
+    a[:n] = np.frombuffer(data, np.uint8)
+    key = a[:n].copy()
+    for j in range(1, 8):
+        key = key << np.uint64(8) | a[j : n + j]
+    known = 8
+    while True:
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        steps = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
+        if known >= depth or steps[-1] == n - 1:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = steps
+        behind = np.zeros(n, np.int64)
+        behind[: max(0, n - known)] = rank[known:] + 1
+        key = rank * (n + 1) + behind
+        known *= 2
+
+
 def matches(data: bytes, least: int, most: int, far: int, skip_next: bool = False) -> tuple[list[int], list[int]]:
     """Longest earlier match of every position: (lengths, distances); 0 where there is none.
 
-    ``skip_next`` leaves out distance 1, for memories that are written in units of two bytes.
+    The places of the window are kept in suffix order: the longest match is always at a neighbour of the position there, so no place is left out. ``skip_next`` leaves out
+    distance 1, for memories that are written in units of two bytes.
     """
     n = len(data)
     lengths, distances = [0] * n, [0] * n
-    seen: dict[bytes, list[int]] = defaultdict(list)
-    for i in range(n - least + 1):
-        places = seen[data[i : i + least]]
-        best = 0
+    if n <= least:
+        return lengths, distances
+    by_rank = suffix_order(data, most)
+    ranks = np.empty(n, np.int64)
+    ranks[by_rank] = np.arange(n)
+    order, rank = by_rank.tolist(), ranks.tolist()
+    window: list[int] = []
+    gap = 2 if skip_next else 1
+    for i in range(gap, n - least + 1):
+        insort(window, rank[i - gap])
+        if i > far:
+            del window[bisect_left(window, rank[i - far - 1])]
+        at = bisect_left(window, rank[i])
+        head = data[i : i + least]
         top = min(most, n - i)
-        for p in places[: -CHAIN - 1 : -1]:
-            if i - p > far:
-                break
-            if skip_next and i - p == 1:
-                continue
-            if best and (best >= top or data[p + best] != data[i + best]):
+        best = back = 0
+        for r in window[max(at - 1, 0) : at + 1]:
+            p = order[r]
+            if data[p : p + least] != head:
                 continue
             k = least
-            step = 16
-            while k + step <= top and data[p + k : p + k + step] == data[i + k : i + k + step]:
-                k += step
+            while k + 16 <= top and data[p + k : p + k + 16] == data[i + k : i + k + 16]:
+                k += 16
             while k < top and data[p + k] == data[i + k]:
                 k += 1
-            if k > best:
-                best, distances[i] = k, i - p
-                if best == top:
-                    break
-        lengths[i] = best
-        places.append(i)
+            if k > best or k == best and i - p < back:
+                best, back = k, i - p
+        lengths[i], distances[i] = best, back
     return lengths, distances
 
 
-def cheapest_parse(lengths: list[int], least: int, literal: float, match: Callable[[int], float]) -> list[int]:
-    """Length of the step at every position (1: a literal) that makes the rest of the stream shortest; found from the end."""
+def cheapest_parse(lengths: list[int], least: int, literal: float, match: Callable[[int], float], steps: tuple[int, ...] | None = None) -> list[int]:
+    """Length of the step at every position (1: a literal) that makes the rest of the stream shortest; found from the end.
+
+    Every length is tried. With ``steps``, the longest length of each cost, only these and the longest match are: as long as ``least - 1`` literals cost no more than a match,
+    a later end is never worse at the same cost. Like in the reference, the bytes that long runs of literals add aren't counted.
+    """
     n = len(lengths)
     cost = [0.0] * (n + 1)
     step = [1] * n
+    price = [match(k) if k >= least else 0.0 for k in range(max(lengths, default=0) + 1)]
     for i in range(n - 1, -1, -1):
         best, pick = literal + cost[i + 1], 1
         top = lengths[i]
         if top >= least:
-            # the longest match, and those that are shorter by a little or end before a costlier length code
-            for k in {top, *range(max(least, top - 8), top), *range(least, min(top, least + 16))}:
-                c = match(k) + cost[i + k]
-                if c < best or c == best and k > pick:
+            for k in range(least, top + 1) if steps is None else (*(k for k in steps if k < top), top):
+                c = price[k] + cost[i + k]
+                if c <= best:
                     best, pick = c, k
         cost[i], step[i] = best, pick
     return step
@@ -112,7 +144,7 @@ def lz4_encode(data: bytes, skip_next: bool = False) -> bytes:
     out = bytearray(_head(len(data), LZ4_MARK))
     lengths, distances = matches(data, LZ4_MIN, LZ4_MAX, LZ4_FAR, skip_next)
     extra = lambda k: 0 if k < 15 else (k - 15) // 255 + 1
-    step = cheapest_parse(lengths, LZ4_MIN, 1.0, lambda k: 3 + extra(k - LZ4_MIN + 1))
+    step = cheapest_parse(lengths, LZ4_MIN, 1.0, lambda k: 3 + extra(k - LZ4_MIN + 1), LZ4_STEPS)
     i = lit = 0
     n = len(data)
     while i < n:
