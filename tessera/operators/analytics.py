@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,7 +61,10 @@ def fade(r0: Column, r1: Column, amount: float) -> Column:
 
 
 def fade_table(palette: DataFrame, amount: float) -> DataFrame:
-    """(i, j, idx): for each pair of palette entries, the first entry nearest to the mix of their colours. At most 256 entries."""
+    """(i, j, idx): for each pair of palette entries, the first entry nearest to the mix of their colours. At most 256 entries.
+
+    Only the last step of a fade table, over the given colours and with a linear mix; ``fade_index_map`` is the whole.
+    """
     from tessera.functions import color as C
 
     rows = palette.select("idx", "xrgb").orderBy("idx").limit(257).collect()
@@ -72,3 +76,89 @@ def fade_table(palette: DataFrame, amount: float) -> DataFrame:
     own = C.to_rgbf(F.col("mix"))
     best = F.least(*(F.struct(F.round(C.mse_rgb(own, C.to_rgbf(F.lit(r["xrgb"]))), 9).alias("d"), F.lit(r["idx"]).alias("idx")) for r in rows))
     return mixed.select("i", "j", best["idx"].alias("idx"))
+
+
+def fade_mix(c0: np.ndarray, c1: np.ndarray, amount: int, fmt: str = "xrgb1555", swap: bool = False) -> np.ndarray:
+    """First colour faded by ``amount`` steps of the format, then averaged with the second on its grid; ``swap`` swaps red and blue of the result, as the reference does."""
+    out = []
+    for at, bits in zip((16, 8, 0), (3, 2 if fmt == "rgb565" else 3, 3)):
+        a = np.maximum((c0 >> at & 255) - (amount << bits), 0)
+        out.append((2 * a + 2 * (c1 >> at & 255) + 1) >> 2 + bits << bits)
+    r, g, b = out[::-1] if swap else out
+    return r << 16 | g << 8 | b
+
+
+def fade_closure(colors: list[int], amount: int, fmt: str = "xrgb1555", swap: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All colours that fading and mixing makes from the given ones, in ascending order, and how often each comes.
+
+    Colours are taken from a queue; each is mixed with itself and all taken before it, and mixes that are new join the queue, until it is empty. New colours lie on the grid of the
+    format, so there are at most 32,768 (65,536 for rgb565) besides the given ones: the work is bounded and done on the driver.
+    """
+    places = ((16, 3, 11 if fmt == "rgb565" else 10), (8, 2 if fmt == "rgb565" else 3, 5), (0, 3, 0))  # shift in a colour, bits off the grid, shift in a word of the format
+    size = 1 << (16 if fmt == "rgb565" else 15)
+    word = np.arange(size)
+    color = sum((word >> w & (255 >> bits)) << bits << at for at, bits, w in places)  # of each word
+    given = np.isin(color, colors)
+    known, taken = given.copy(), np.zeros(size, bool)  # known: taken, or in the queue
+    count = np.zeros(size, np.int64)
+    level = np.arange(256)
+    order = np.empty(0, np.int64)  # colours taken, ascending, and their channels
+    parts = [np.empty(0, np.uint8)] * 3
+    queue, seen, at = list(colors), set(), 0
+    to_word = {int(x): int(i) for i, x in enumerate(color)}
+    while at < len(queue):
+        c = queue[at]
+        at += 1
+        if c not in seen:
+            seen.add(c)
+            k = int(np.searchsorted(order, c))
+            order = np.insert(order, k, c)
+            parts = [np.insert(x, k, c >> p[0] & 255) for x, p in zip(parts, places)]
+            if c in to_word and not given[to_word[c]]:
+                taken[to_word[c]] = True
+                count[to_word[c]] = 1
+        tables = []
+        for (shift, bits, _), (_, _, w) in zip(places, places[::-1] if swap else places):
+            tables.append((fade_mix(np.int64((c >> shift & 255) << shift), level << shift, amount, fmt) >> shift + bits & 255) << w)
+        mixes = tables[0][parts[0]] | tables[1][parts[1]] | tables[2][parts[2]]
+        count += np.bincount(mixes, minlength=size) * taken
+        fresh = mixes[~known[mixes]]
+        if len(fresh):
+            fresh = fresh[np.sort(np.unique(fresh, return_index=True)[1])]
+            known[fresh] = True
+            queue += color[fresh].tolist()
+    return order, np.array([count[to_word[c]] if c in to_word and not given[to_word[c]] else 1 for c in order.tolist()], np.int64)
+
+
+def fade_palette(colors: list[int], amount: int, size: int = 256, fmt: str = "xrgb1555", swap: bool = False) -> list[int]:
+    """The given colours, and behind them those of the closure reduced to the rest of ``size``."""
+    from tessera.operators.palette import reduce_colors
+
+    if not 0 < len(colors) <= size <= 256:
+        raise ValueError("a palette has at most 256 colours")
+    if len(colors) == size:
+        return list(colors)
+    all_colors, counts = fade_closure(colors, amount, fmt, swap)
+    return [*colors, *np.unique(reduce_colors(all_colors, counts, size - len(colors), fmt)).tolist()]
+
+
+def fade_index_map(palette: DataFrame, amount: int, size: int = 256, fmt: str = "xrgb1555", swap: bool = False) -> DataFrame:
+    """(pair, idx, xrgb) of all 65,536 pairs ``i0 << 8 | i1``: the first entry nearest to the fade of the two, and its colour; 0 where an entry doesn't exist.
+
+    The palette is closed under fading and mixing and reduced to ``size`` colours before.
+    """
+    from tessera.functions import color as C
+
+    rows = palette.select("idx", "xrgb").orderBy("idx").limit(size + 1).collect()
+    colors = fade_palette([r["xrgb"] for r in rows], amount, size, fmt, swap)
+    spark = palette.sparkSession
+    full = F.broadcast(spark.createDataFrame(list(enumerate(colors)), "idx int, xrgb int"))  # at most 256 rows
+    a = np.array(colors, np.int64)
+    n = len(a)
+    mixes = fade_mix(np.repeat(a, n), np.tile(a, n), amount, fmt, swap)
+    pairs = spark.createDataFrame([((k // n) << 8 | k % n, m) for k, m in enumerate(mixes.tolist())], "pair int, mix int")
+    d = F.round(C.mse_rgb(C.to_rgbf(F.col("mix")), C.to_rgbf(F.col("xrgb"))), 9)
+    best = pairs.select("mix").distinct().crossJoin(full).groupBy("mix").agg(F.min(F.struct(d.alias("d"), "idx", "xrgb")).alias("best"))
+    found = pairs.join(best, "mix").select("pair", "best.idx", "best.xrgb")
+    every = spark.range(1 << 16).select(F.col("id").cast("int").alias("pair"))
+    return every.join(found, "pair", "left").select("pair", F.coalesce("idx", F.lit(0)).alias("idx"), F.coalesce("xrgb", F.lit(colors[0])).alias("xrgb"))

@@ -134,6 +134,12 @@ def fade_table(spark: SparkSession, d: str) -> DataFrame:
     return M.fade_table(palette(spark, d), 0.25)
 
 
+@query()
+def fade_index_map(spark: SparkSession, d: str) -> DataFrame:
+    """Whole fade table: the palette closed under fading by one step and mixing, reduced to 256 colours, and the nearest entry to all 65,536 pairs."""
+    return M.fade_index_map(palette(spark, d), 1)
+
+
 # --- coders ------------------------------------------------------------------------------------------------------------------
 
 
