@@ -17,7 +17,7 @@ from tessera.session import table
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
-    return garbled_rows(table(spark, d, "subtitles"), table(spark, d, "caption_catalog"))
+    return garbled_rows(table(spark, d, "subtitles"), table(spark, d, "caption_catalog"), table(spark, d, "subtitle_tracks"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
