@@ -33,7 +33,7 @@ LEVEL = 3
 #: A margin is narrow below this many bytes or this share of the encoding.
 MARGIN_BYTES, MARGIN_SHARE = 2, 0.06
 #: A sentence is in another language than the one that prevails in its text only if that language's encoding is shorter by more than this share.
-SWITCH_SHARE = 0.12
+SWITCH_SHARE = 0.1
 #: A sentence of a labelled document is left out of the fit if another language's encoding is shorter by this share.
 FOREIGN_SHARE = 0.3
 #: Every dictionary ends with these signs and every sentence is encoded behind them: an encoder that has matched them has paid its fixed cost,
@@ -49,6 +49,8 @@ _CYRILLIC, _JAPANESE = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[぀-ヿ一-鿿]")
 
 def script_of(s: str) -> str | None:
     """Script of most letters of a sentence; None if it has no letters to speak of."""
+    if s.isascii():
+        return "Latin" if sum(map(str.isalpha, s)) > 1 else None
     n = len(_LETTER.findall(s))
     if n < 2:
         return None
@@ -93,7 +95,7 @@ def segments(text: str, model: Classifier) -> list[tuple[int, int, str | None, f
     for m in _SENTENCE.finditer(text):
         s = m[0]
         core = _PHRASE.sub(" ", s)
-        if len(_LETTER.findall(core)) < 5:
+        if core is not s and len(_LETTER.findall(core)) < 5:
             core = s
         core = core.strip()
         sizes = model.sizes(core)

@@ -4,12 +4,17 @@ What matters for filling is how many items there are of each size, of which ther
 in Spark; the fill plan is made from it on the driver, whose work depends on the capacity and not on the rows: a container begins with
 the largest size left, a bitset subset-sum program finds the multiset of remaining sizes that fills the rest closest to capacity, its counts are found by
 backtracking, and the pattern is used for as many containers as the remaining counts allow. Items then find their container by their rank within
-their size. Ranks are made of salted parts, so that a size that a third of all items have is not ranked in one task.
+their size, by binary search in the plan. Ranks are made of salted parts, so that a size that a third of all items have is not ranked in one task; where the parts begin is
+a prefix sum over their counts, which stays in Spark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ from tessera.session import ensure_checkpoint_dir
 
 #: Parts of a size that are ranked apart.
 SALTS = 64
+#: More limits than this are an error: each one is a plan of its own.
+MAX_PACKS = 100
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -77,6 +84,25 @@ def fill_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return plan
 
 
+def _container(spark: SparkSession, plan: list[tuple[int, int, int, int, int]]):
+    """Column function (size, rank) -> container. The plan has a use for each size of each pattern, whose number the capacity bounds."""
+    p = np.array(sorted(plan), np.int64).reshape(-1, 5)
+    shared = spark.sparkContext.broadcast(p)
+
+    @F.pandas_udf("long")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        size, first, _, times, base = shared.value.T
+        begin = np.searchsorted(size, np.arange(size.max() + 2))
+        span = int(first.max()) + 1
+        for rest, rank in batches:
+            s, r = rest.to_numpy(np.int64), rank.to_numpy(np.int64)
+            at = np.searchsorted(size * span + first, s * span + np.minimum(r, span - 1), "right") - 1
+            at = np.maximum(at, begin[s])
+            yield pd.Series(base[at] + (r - first[at]) // times[at])
+
+    return find
+
+
 def pack(items: DataFrame, limits: DataFrame, key: str, size: str, name: str = "pack_name", capacity: str = "capacity_tokens") -> DataFrame:
     """(name, key, piece, container, tokens): the container of every item for every limit.
 
@@ -86,40 +112,39 @@ def pack(items: DataFrame, limits: DataFrame, key: str, size: str, name: str = "
     spark = items.sparkSession
     ensure_checkpoint_dir(spark)
     rows = items.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n")).checkpoint()
-    packs = [(r[0], int(r[1])) for r in limits.filter(f"{capacity} >= 1").select(name, capacity).orderBy(name).limit(1000).collect()]
+    packs = [(r[0], int(r[1])) for r in limits.filter(f"{capacity} >= 1").select(name, capacity).orderBy(name).limit(MAX_PACKS + 1).collect()]
+    if len(packs) > MAX_PACKS:
+        raise ValueError(f"more than {MAX_PACKS} limits")
     outs = []
     for label, cap in packs:
         rest = F.pmod(F.col("n"), F.lit(cap))
         rest = F.when((rest == 0) & (F.col("n") > 0), F.lit(cap)).otherwise(rest)
         item = rows.select("k", "n", rest.alias("rest"), F.expr(f"cast(greatest((n - 1) div {cap}, 0) as int)").alias("full"), F.pmod(F.xxhash64("k", "n"), F.lit(SALTS)).cast("int").alias("salt"))
-        hist = item.filter("rest > 0").groupBy("rest", "salt").agg(F.count("*").alias("c"), F.sum("full").alias("f"))
-        counted = hist.collect()  # at most capacity x SALTS rows
-        sizes: dict[int, int] = {}
-        offset: list[tuple[int, int, int, int]] = []
-        whole = 0
-        for r in sorted(counted, key=lambda r: (r["rest"], r["salt"])):
-            offset.append((r["rest"], r["salt"], sizes.get(r["rest"], 0), whole))
-            sizes[r["rest"]] = sizes.get(r["rest"], 0) + r["c"]
-            whole += r["f"]
-        plan = fill_plan(sizes, cap)
+        parts = item.filter("rest > 0").groupBy("rest", "salt").agg(F.count("*").alias("c"), F.sum("full").alias("f"))
+        counted = parts.groupBy("rest").agg(F.sum("c").alias("c"), F.sum("f").alias("f")).orderBy("rest").collect()  # one row for each size up to the capacity
+        plan = fill_plan({r["rest"]: r["c"] for r in counted}, cap)
+        empty = F.lit(0).cast("long")
         if not plan:
-            outs.append(item.select(F.lit(label).alias(name), F.col("k").alias(key), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("container"), F.lit(0).cast("long").alias("tokens")))
+            outs.append(item.select(F.lit(label).alias(name), F.col("k").alias(key), F.lit(0).alias("piece"), empty.alias("container"), empty.alias("tokens")))
             continue
         last = max(p[4] + (p[2] - p[1]) // p[3] for p in plan)
-        offs = F.broadcast(spark.createDataFrame(offset, "rest long, salt int, first long, firstfull long"))
-        segs = F.broadcast(spark.createDataFrame([p for p in plan], "rest long, a long, b long, times long, base long"))
+        # full pieces are numbered behind all patterns: first those of the smallest rest, part by part
+        heads_from, at_full = {}, last
+        for r in counted:
+            heads_from[r["rest"]] = at_full
+            at_full += r["f"]
+        base = F.broadcast(spark.createDataFrame(list(heads_from.items()), "rest long, headbase long"))
+        wp = W.partitionBy("rest").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+        offs = parts.select("rest", "salt", F.coalesce(F.sum("c").over(wp), empty).alias("first"), F.coalesce(F.sum("f").over(wp), empty).alias("firstfull")).join(base, "rest")
         w = W.partitionBy("rest", "salt").orderBy("k", "n")
-        run = w.rowsBetween(W.unboundedPreceding, -1)
-        ranked = item.filter("rest > 0").withColumn("r", F.row_number().over(w) - 1).withColumn("before", F.coalesce(F.sum("full").over(run), F.lit(0)))
-        placed = ranked.join(offs, ["rest", "salt"]).withColumn("rank", F.col("r") + F.col("first")).withColumn("fullbase", F.lit(last) + F.col("firstfull") + F.col("before"))
-        # uses of a size follow each other in rank: they are found by a broadcast join on the size, with the ranks as condition
-        at = placed.alias("x").join(segs.alias("s"), F.expr("x.rest = s.rest AND x.rank >= s.a AND x.rank < s.b"))
-        tail = at.select("x.k", "x.n", "x.full", "x.fullbase", F.col("x.rest").alias("tokens"), F.expr("s.base + (x.rank - s.a) div s.times").alias("container"))
-        ends = tail.select("k", F.col("full").alias("piece"), "container", "tokens")
+        ranked = item.filter("rest > 0").withColumn("r", F.row_number().over(w) - 1).withColumn("before", F.coalesce(F.sum("full").over(w.rowsBetween(W.unboundedPreceding, -1)), empty))
+        placed = ranked.join(offs, ["rest", "salt"]).select("k", "full", "rest", (F.col("r") + F.col("first")).alias("rank"), (F.col("headbase") + F.col("firstfull") + F.col("before")).alias("fullbase"))
+        tail = placed.withColumn("container", _container(spark, plan)("rest", "rank"))
+        ends = tail.select("k", F.col("full").alias("piece"), "container", F.col("rest").alias("tokens"))
         heads = tail.filter("full > 0").select("k", F.explode(F.expr("sequence(0, full - 1)")).alias("piece"), "fullbase").select(
             "k", "piece", (F.col("fullbase") + F.col("piece")).alias("container"), F.lit(cap).cast("long").alias("tokens")
         )
-        none = item.filter("rest = 0").select("k", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("container"), F.lit(0).cast("long").alias("tokens"))
+        none = item.filter("rest = 0").select("k", F.lit(0).alias("piece"), empty.alias("container"), empty.alias("tokens"))
         outs.append(ends.unionByName(heads).unionByName(none).select(F.lit(label).alias(name), F.col("k").alias(key), "piece", "container", "tokens"))
     if not outs:
         return spark.createDataFrame([], f"{name} string, {key} {items.schema[key].dataType.simpleString()}, piece int, container long, tokens long")
