@@ -34,7 +34,7 @@ PARSED = T.StructType(
 
 def _free_pattern(columns: int, delimiter: str) -> re.Pattern:
     d = re.escape(delimiter)
-    field = rf'(?:"((?:[^"]|"")*)"|([^{d}"][^{d}"]*|))'
+    field = rf'(?:"([^"]*(?:""[^"]*)*)"|([^{d}"]*))'
     return re.compile(rf"\A{d.join([field] * columns)}\Z", re.S)
 
 

@@ -55,12 +55,24 @@ def _ms(name: str):
 
 
 def frame_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, s, e) in whole milliseconds; frames with a null or NaN time, or an end not after the start, fall out."""
+    """(key, s, e) in whole milliseconds; frames with a null, NaN or infinite time or one beyond 9e12 s, whose milliseconds a long can't hold, or an end not after the start, fall out."""
     ok = F.col(start).isNotNull() & F.col(end).isNotNull() & ~F.isnan(F.col(start)) & ~F.isnan(F.col(end)) & (F.abs(start) < 9e12) & (F.abs(end) < 9e12)
     return df.filter(ok & (F.col(end) > F.col(start))).select(F.col(key).alias("key"), _ms(start).alias("s"), _ms(end).alias("e")).filter("e > s")
 
 
-_SCHEMA = pa.schema([("key", pa.int64()), ("slot", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+def _batch(cols: tuple[list, list, list, list], kind: pa.DataType) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int64(), pa.int64()))], names=["key", "slot", "s", "e"])
+    for c in cols:
+        c.clear()
+    return out
+
+
+def _put(cols: tuple[list, list, list, list], key, slot: int, m: IntervalMap) -> None:
+    n = len(m.starts)
+    cols[0].extend([key] * n)
+    cols[1].extend([slot] * n)
+    cols[2].extend(m.starts)
+    cols[3].extend(m.ends)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,19 +82,17 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     state: dict[tuple, IntervalMap] = {}
     seen = 0
+    kind: pa.DataType = pa.null()
+    cols: tuple[list, list, list, list] = ([], [], [], [])
 
-    def flush():
-        cols: tuple[list, list, list, list] = ([], [], [], [])
+    def flush() -> pa.RecordBatch:
         for (key, slot), m in state.items():
-            n = len(m.starts)
-            cols[0].extend([key] * n)
-            cols[1].extend([slot] * n)
-            cols[2].extend(m.starts)
-            cols[3].extend(m.ends)
+            _put(cols, key, slot, m)
         state.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_SCHEMA)
+        return _batch(cols, kind)
 
     for batch in batches:
+        kind = batch.schema.field(0).type
         key, slot, s, e = (batch.column(i).to_pylist() for i in range(4))
         for k, b, x, y in zip(key, slot, s, e):
             m = state.get((k, b))
@@ -100,42 +110,31 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """As _fold, but the rows of a (key, slot) come together; the map of the one before is given out when the next begins."""
     now, m = None, IntervalMap()
+    kind: pa.DataType = pa.null()
     cols: tuple[list, list, list, list] = ([], [], [], [])
-
-    def close():
-        if now is not None:
-            n = len(m.starts)
-            cols[0].extend([now[0]] * n)
-            cols[1].extend([now[1]] * n)
-            cols[2].extend(m.starts)
-            cols[3].extend(m.ends)
-
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_SCHEMA)
-        for c in cols:
-            c.clear()
-        return out
-
     for batch in batches:
+        kind = batch.schema.field(0).type
         key, slot, s, e = (batch.column(i).to_pylist() for i in range(4))
         for k, b, x, y in zip(key, slot, s, e):
             if now is None or k != now[0] or b != now[1]:
-                close()
+                if now is not None:
+                    _put(cols, *now, m)
                 now, m = (k, b), IntervalMap()
             m.insert(x, y)
         if len(cols[0]) > 10_000:
-            yield flush()
-    close()
+            yield _batch(cols, kind)
+    if now is not None:
+        _put(cols, *now, m)
     if cols[0]:
-        yield flush()
+        yield _batch(cols, kind)
 
 
 def merge_slots(iv: DataFrame, slot_ms: int) -> DataFrame:
-    """Disjoint periods of every (key, slot); a frame belongs to the slot in which it starts, and may reach beyond it.
+    """Disjoint periods of every (key, slot); a frame belongs to the slot in which it starts, and may reach beyond it. Keys are of any simple type.
 
     At most ``slot_ms`` periods can start in a slot, whatever share of the rows its key has, which bounds every map.
     """
-    types = "key long, slot long, s long, e long"
+    types = f"key {iv.schema['key'].dataType.simpleString()}, slot long, s long, e long"
     local = iv.select("key", F.floor(F.col("s") / slot_ms).alias("slot"), "s", "e").mapInArrow(_fold, types)  # map-side merge
     return local.repartition("key", "slot").sortWithinPartitions("key", "slot").mapInArrow(_fold_sorted, types)
 

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoint(): the cluster's ``spark.checkpoint.dir``, or a local one if that is unset.
 
-    The local folder is made only where the session names none, which is the case in tests on one machine.
+    The local folder is made only where the session names none and the master is local, as in tests on one machine: the executors of a cluster could not read it.
     """
     sc = spark.sparkContext
     there = sc.getCheckpointDir()
@@ -24,6 +24,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return there
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"tessera-checkpoint-{os.getuid()}")
     sc.setCheckpointDir(named)
     return named
