@@ -1,31 +1,33 @@
 """Grouping records into similarity clusters: MinHash bands, exact Jaccard, connected components, medoid splits.
 
 A record is a point with three coordinates in 0..255 inside a group (a colour of a run). Points are first pre-aggregated to voxels of 8 x 8 x 8,
-of which a group has at most 32768 whatever its number of rows. The set that stands for a voxel holds all
+of which a group has at most 32768 whatever its number of rows, so that a group's voxels, but never its rows, are worked on in one task. The set that stands for a voxel holds all
 lattice voxels of the cube of half width ``reach`` around it, so that near voxels have similar sets and their exact
 Jaccard similarity has the closed form ``i / (2 s^3 - i)`` with ``i = prod(s - |d|)``, ``s = 2 reach + 1``.
 
-1. MinHash: ``bands`` independent hashes of each set. Signatures depend on the voxel alone, so that they form a table of 32768 rows
-   that is made once and broadcast.
-2. Voxels with an equal hash in a band are candidates. Exact Jaccard and the exact distance of the voxels' bounding boxes are
-   conditions of that join: a pair that fails them is never given out. Buckets are bounded by the cube's volume.
-3. Pairs that the boxes do not decide, and whose components differ, are checked point by point; a voxel has at most 512 places, kept as bits.
-4. Connected components of a group's links, of at most 32768 nodes; then components that are loose, i.e. reach beyond ``loose`` from their
-   highest-degree medoid, are split around medoids, but never between points that are at most ``near`` apart.
+1. MinHash: ``bands`` independent hashes of each set. Signatures depend on the voxel alone; they form a table of 32768 rows that is made once and broadcast (6 MB).
+2. Voxels of a group with an equal hash in a band are candidates. Those whose exact Jaccard similarity and whose boxes allow points less than ``far`` apart are linked.
+3. Connected components of the links. A component is loose if it reaches beyond ``near / 2`` from its highest-degree medoid; a tight one has no two points more than ``near`` apart.
+4. Loose components are split around medoids: the voxel with the most links takes its free neighbours, and so on. Pieces are joined again only by links at most ``near`` long: links that the boxes prove,
+   and those that a check point by point proves; a voxel has at most 512 places, kept as bits. Links between ``near`` and ``far`` hold nothing together.
+
+A pair of voxels with points at most ``near`` = 24 apart has a similarity of at least 0.25; the bands miss it with a probability of at most 1e-6. ``exact=True`` looks up all neighbours instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 VOXEL = 8
 _AXIS = 256 // VOXEL
+#: Voxels that are worked on together; whole groups, so that it may be exceeded by one group.
+BATCH = 16_384
 
 
 def jaccard(dx, dy, dz, reach: int):
@@ -62,12 +64,6 @@ def signatures(bands: int, reach: int, seed: int = 7) -> np.ndarray:
     return out
 
 
-def _signature_table(spark: SparkSession, bands: int, reach: int) -> DataFrame:
-    s = signatures(bands, reach)
-    keys = pa.ListArray.from_arrays(np.arange(0, s.size + 1, bands, dtype=np.int32), s.reshape(-1))
-    return spark.createDataFrame(pa.table({"v": np.arange(len(s), dtype=np.int32), "keys": keys}))
-
-
 def voxels(points: DataFrame) -> DataFrame:
     """One row per group and occupied voxel: grp, v, box, first_id and the occupied places as eight 64-bit words.
 
@@ -81,50 +77,65 @@ def voxels(points: DataFrame) -> DataFrame:
     return rows.select("grp", "v", box.alias("box"), "first_id", *(f"w{k}" for k in range(VOXEL)))
 
 
-def _byte(box: str, i: int) -> str:
-    return f"cast(shiftright({box}, {40 - 8 * i}) & 255 as int)"
+def linked(xyz: np.ndarray, grp: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, sig: np.ndarray | None, far: float, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, least, most) of the linked voxels: indices and squared least and largest distances of their boxes. Without signatures, all neighbours are looked up.
 
-
-def _spread(a: str, b: str, kind: str) -> str:
-    """Squared least or largest distance of two boxes."""
-    parts = []
-    for i in range(3):
-        lo = f"{_byte(b, i)} - {_byte(a, i + 3)}", f"{_byte(a, i)} - {_byte(b, i + 3)}"
-        d = f"greatest(0, {lo[0]}, {lo[1]})" if kind == "least" else f"greatest({_byte(b, i + 3)} - {_byte(a, i)}, {_byte(a, i + 3)} - {_byte(b, i)})"
-        parts.append(f"{d} * {d}")
-    return " + ".join(parts)
-
-
-def links(nodes: DataFrame, near: float, far: float, bands: int, reach: int) -> DataFrame:
-    """(grp, va, vb, sure): voxels of one group that may hold points of one cluster; sure if all their points are less than ``far`` apart."""
-    spark = nodes.sparkSession
-    least = least_jaccard(near, reach)
-    sig = F.broadcast(_signature_table(spark, bands, reach))  # 32768 rows, fixed by the colour space
-    banded = nodes.select("grp", "v", "box").join(sig, "v").select("grp", "box", F.posexplode("keys").alias("band", "item")).select(
-        "grp", F.expr(f"item * {bands} + band").alias("bucket"), "box"
-    )
-    a, b = banded.alias("a"), banded.alias("b")
+    Links are kept as one flag for each voxel and offset, so that a pair that meets in many bands takes no more room.
+    """
+    n, r = len(v), int(far // VOXEL) + 1
+    side = 2 * r + 1
+    found = np.zeros((n, side**3), bool)
+    shift = np.stack(np.meshgrid(*[np.arange(-r, r + 1)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    least = (np.maximum(VOXEL * (np.abs(shift) - 1) + 1, 0) * (shift != 0)) ** 2
+    can = least.sum(1) < far * far
     s = 2 * reach + 1
-    # sets that share an item overlap on every axis, so that no factor is below one; J >= t is i >= 2 s^3 t / (1 + t)
-    inter = " * ".join(f"({s} - abs((shiftright(a.box, {sh}) & 31) - (shiftright(b.box, {sh}) & 31)))" for sh in (43, 35, 27))
-    cand = a.join(b, F.expr(f"a.grp = b.grp AND a.bucket = b.bucket AND a.box < b.box AND {inter} >= {int(np.floor(2 * s**3 * least / (1 + least) + 1e-6))}"))
-    pairs = cand.select(F.col("a.grp").alias("grp"), F.col("a.box").alias("x"), F.col("b.box").alias("y")).distinct()
-    of = lambda x: F.expr(f"cast((shiftright({x}, 43) & 31) * 1024 + (shiftright({x}, 35) & 31) * 32 + (shiftright({x}, 27) & 31) as int)")
-    pairs = pairs.filter(f"({_spread('x', 'y', 'least')}) <= {near * near!r}").select(
-        "grp", of("x").alias("va"), of("y").alias("vb"), F.expr(f"({_spread('x', 'y', 'most')}) < {far * far!r}").alias("sure")
-    )
-    return pairs
-
-
-def touching(box_a: int, bits_a: np.ndarray, box_b: int, bits_b: np.ndarray, near: float) -> bool:
-    """Whether two voxels hold points at most ``near`` apart; bits are the occupied places of a voxel, one word for each r."""
-
-    def points(box: int, bits: np.ndarray) -> np.ndarray:
+    if sig is None:
+        at = grp.astype(np.int64) * _AXIS**3 + v
+        for k in np.nonzero(can)[0]:
+            to = xyz + shift[k]
+            inside = ((to >= 0) & (to < _AXIS)).all(1)
+            code = at + (shift[k] * (_AXIS**2, _AXIS, 1)).sum()
+            j = np.minimum(np.searchsorted(at, code), n - 1)
+            found[:, k] = inside & (at[j] == code)
+    else:
+        bands = sig.shape[1]
+        key = ((grp.astype(np.int64)[:, None] * bands + np.arange(bands)) << 20 | sig[v]).reshape(-1)
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], order // bands
+        left = np.arange(len(key) - 1)
+        step = 1
+        sim = jaccard(*shift.T, reach)
+        floor = sim[can].min() if can.any() else 1.0
+        while len(left):
+            left = left[left + step < len(key)]
+            left = left[key[left] == key[left + step]]
+            a, b = node[left], node[left + step]
+            d = xyz[b] - xyz[a]
+            ok = (np.abs(d) <= r).all(1)
+            code = ((d[ok] + r) * (side * side, side, 1)).sum(1)
+            ok2 = (sim[code] >= floor) & can[code]  # exact Jaccard similarity
+            found[a[ok][ok2], code[ok2]] = True
+            step += 1
+    a, k = np.nonzero(found)
+    at = grp.astype(np.int64) * _AXIS**3 + v
+    b = np.searchsorted(at, at[a] + (shift[k] * (_AXIS**2, _AXIS, 1)).sum(1))
+    keep = a < b
+    a, b = a[keep], b[keep]
+    gap = np.maximum(0, np.maximum(lo[b] - hi[a], lo[a] - hi[b]))
+    span = np.maximum(hi[b] - lo[a], hi[a] - lo[b])
+    least, most = (gap * gap).sum(1), (span * span).sum(1)
+    keep = least < far * far
+    return a[keep], b[keep], least[keep], most[keep]
+
+
+def touching(lo_a: np.ndarray, bits_a: np.ndarray, lo_b: np.ndarray, bits_b: np.ndarray, near: float) -> bool:
+    """Whether two voxels hold points at most ``near`` apart; bits are the occupied places of a voxel, one word for each r, ``lo`` is the corner of its box."""
+
+    def points(lo: np.ndarray, bits: np.ndarray) -> np.ndarray:
         at = np.nonzero(np.unpackbits(bits.astype("<i8").view(np.uint8), bitorder="little"))[0]
-        corner = np.array([box >> 43 & 31, box >> 35 & 31, box >> 27 & 31]) * VOXEL
-        return np.stack([at >> 6, at >> 3 & 7, at & 7], 1) + corner
+        return np.stack([at >> 6, at >> 3 & 7, at & 7], 1) + lo // VOXEL * VOXEL
 
-    d = points(box_a, bits_a)[:, None] - points(box_b, bits_b)[None]
+    d = points(lo_a, bits_a)[:, None] - points(lo_b, bits_b)[None]
     return bool(((d * d).sum(2) <= near * near).any())
 
 
@@ -146,75 +157,99 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def split_loose(xyz: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray, loose: float) -> np.ndarray:
-    """Split components that reach beyond ``loose`` from their medoid.
-
-    Greedy by degree: the free node with the most links (ties: the least number) becomes a medoid and takes its free neighbours. Pieces that are joined by a
-    link stay one cluster, for a link means points that belong together; only what has no link falls apart.
-    """
-    n = len(label)
+def split_loose(n: int, lo: np.ndarray, hi: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray, most: np.ndarray, near: float) -> np.ndarray:
+    """Cluster of each voxel: components of the links, of which the loose ones are split around highest-degree medoids."""
+    label = components(n, a, b)
     degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
     order = np.lexsort((np.arange(n), -degree, label))
     first = np.ones(n, bool)
     first[1:] = label[order][1:] != label[order][:-1]
     medoid = np.empty(n, int)
     medoid[label[order][first]] = order[first]
-    reach = np.sqrt(((xyz - xyz[medoid[label]]) ** 2).sum(1))
-    wide = np.unique(label[reach > loose])
-    if not len(wide):
+    mid = ((lo + hi) / 2)[medoid[label]]
+    reach = np.sqrt((np.maximum(np.abs(lo - mid), np.abs(hi - mid)) ** 2).sum(1))
+    wide = np.zeros(n, bool)
+    wide[label[reach > near / 2]] = True
+    loose = wide[label]
+    if not loose.any():
         return label
-    out = label.copy()
-    for w in wide:
-        at = np.nonzero(label == w)[0]
-        keep = np.isin(a, at)
-        ea, eb = a[keep], b[keep]
-        piece = {int(x): -1 for x in at}
-        near: dict[int, list[int]] = {int(x): [] for x in at}
-        for x, y in zip(ea.tolist(), eb.tolist()):
-            near[x].append(y)
-            near[y].append(x)
-        for x in sorted(piece, key=lambda x: (-len(near[x]), x)):
-            if piece[x] < 0:
-                for y in [x, *near[x]]:
-                    if piece[y] < 0:
-                        piece[y] = x
-        ids = np.array([piece[int(x)] for x in at])
-        index = {int(x): i for i, x in enumerate(at)}
-        pa_ = np.array([index[int(piece[x])] for x in ea.tolist()], int)
-        pb_ = np.array([index[int(piece[x])] for x in eb.tolist()], int)
-        own = np.array([index[int(x)] for x in ids])
-        joined = components(len(at), np.concatenate([pa_, own]), np.concatenate([pb_, np.arange(len(at))]))
-        out[at] = at[joined]
-    return out
-
-
-def cluster_labels(points: DataFrame, near: float = 24, far: float = 32, bands: int = 16, reach: int = 8, loose: float = 24.0) -> DataFrame:
+    sure = most <= near * near
+    # pieces around medoids, over the links that the boxes prove
+    i, j = a[sure & loose[a]], b[sure & loose[a]]
+    src, dst = np.concatenate([i, j]), np.concatenate([j, i])
+    by = np.argsort(src, kind="stable")
+    links, start = dst[by].tolist(), np.searchsorted(src[by], np.arange(n + 1)).tolist()
+    links_of = np.bincount(src, minlength=n)
+    piece = np.where(loose, -1, np.arange(n)).tolist()
+    at = np.nonzero(loose)[0]
+    for x in at[np.lexsort((at, -links_of[at]))].tolist():
+        if piece[x] < 0:
+            piece[x] = x
+            for y in links[start[x] : start[x + 1]]:
+                if piece[y] < 0:
+                    piece[y] = x
+    # pieces that a proven link crosses are one cluster
+    root = components(n, np.concatenate([i, np.arange(n)]), np.concatenate([j, np.array(piece)]))
+    tight = ~loose[a]
+    root = components(n, np.concatenate([a[tight], np.arange(n)]), np.concatenate([b[tight], root]))
+    # what the boxes leave open is decided point by point
+    open_ = np.nonzero(~sure & loose[a] & (least <= near * near) & (root[a] != root[b]))[0]
+    up = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    for k in open_[np.argsort(least[open_], kind="stable")].tolist():
+        x, y = find(int(root[a[k]])), find(int(root[b[k]]))
+        if x != y and touching(lo[a[k]], bits[a[k]], lo[b[k]], bits[b[k]], near):
+            up[max(x, y)] = min(x, y)
+    if up:
+        root = np.array([find(x) for x in root.tolist()])
+    return root
+
+
+def label_groups(nodes: pd.DataFrame, sig: np.ndarray | None, near: float, far: float, reach: int) -> pd.DataFrame:
+    """(grp, v, label, first_id) of whole groups of voxels, sorted by grp and v."""
+    g, v = pd.factorize(nodes["grp"])[0], nodes["v"].to_numpy(np.int64)
+    box = nodes["box"].to_numpy(np.int64)
+    lo, hi = (np.stack([box >> s & 255 for s in at], 1) for at in ((40, 32, 24), (16, 8, 0)))
+    xyz = np.stack([v // _AXIS**2, v // _AXIS % _AXIS, v % _AXIS], 1)
+    edges = linked(xyz, g, v, lo, hi, sig, far, reach)
+    root = split_loose(len(v), lo, hi, nodes[[f"w{k}" for k in range(VOXEL)]].to_numpy(), *edges, near)
+    first = nodes["first_id"].groupby(root).transform("min")
+    return pd.DataFrame({"grp": nodes["grp"], "v": v.astype("int32"), "label": v[root].astype("int32"), "first_id": first})
+
+
+def cluster_labels(points: DataFrame, near: float = 24, far: float = 32, bands: int = 48, reach: int = 4, exact: bool = False) -> DataFrame:
     """(grp, v, label, first_id): the cluster of every occupied voxel of a group.
 
-    ``points`` has grp, r, g, b, id, with coordinates in 0..255. Points at most ``near`` apart share a cluster; clusters are ``far`` or more apart.
+    ``points`` has grp, r, g, b, id, with coordinates in 0..255. Points at most ``near`` apart share a cluster; clusters are more than that apart.
     A group has at most 32768 voxels, so that a task holds a bounded number of nodes, whatever share of the rows its group has.
     """
     nodes = voxels(points)
-    edges = links(nodes, near, far, bands, reach)
-    words = [f"w{k}" for k in range(VOXEL)]
-
-    def label(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("v", ignore_index=True)
-        v = n["v"].to_numpy()
-        a, b, sure = np.searchsorted(v, e["va"].to_numpy()), np.searchsorted(v, e["vb"].to_numpy()), e["sure"].to_numpy(bool)
-        lab = components(len(v), a[sure], b[sure])
-        apart = np.nonzero(~sure & (lab[a] != lab[b]))[0]  # what the boxes leave open is decided point by point
-        if len(apart):
-            box, bits = n["box"].to_numpy(), n[words].to_numpy()
-            hit = [i for i in apart if touching(box[a[i]], bits[a[i]], box[b[i]], bits[b[i]], near)]
-            sure[hit] = True
-            lab = components(len(v), a[sure], b[sure])
-        xyz = np.stack([v // 1024, v // 32 % 32, v % 32], 1) * VOXEL
-        lab = split_loose(xyz, lab, a[sure], b[sure], loose)
-        first = n["first_id"].groupby(lab).transform("min")
-        return pd.DataFrame({"grp": n["grp"], "v": v, "label": lab.astype("int32"), "first_id": first})
-
-    return nodes.groupBy("grp").cogroup(edges.groupBy("grp")).applyInPandas(label, "grp long, v int, label int, first_id long")
+    shared = None if exact else points.sparkSession.sparkContext.broadcast(signatures(bands, reach))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sig = shared.value if shared else None
+        held: list[pd.DataFrame] = []
+        size = 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size > BATCH:
+                held = [pd.concat(held, ignore_index=True)]
+                cut = int(np.searchsorted(held[0]["grp"].to_numpy(), held[0]["grp"].iloc[-1]))  # the last group may go on
+                if cut:
+                    yield label_groups(held[0].iloc[:cut].reset_index(drop=True), sig, near, far, reach)
+                    held = [held[0].iloc[cut:]]
+                    size = len(held[0])
+        if size:
+            yield label_groups(pd.concat(held, ignore_index=True), sig, near, far, reach)
+
+    together = nodes.repartition("grp").sortWithinPartitions("grp", "v")
+    return together.mapInPandas(run, "grp long, v int, label int, first_id long")
 
 
 def colour_points(objects: DataFrame) -> DataFrame:
@@ -241,7 +276,7 @@ def cluster_pairs(objects: DataFrame) -> DataFrame:
 def describe_clusters(objects: DataFrame, top: int = 3) -> DataFrame:
     """One row per cluster: run, first object, number of objects, mean colour, and its ``top`` most typical objects.
 
-    Typical are the objects nearest to the mean colour, ties by number. Sums and ranks are made before the shuffle too, so that no
+    Typical are the medoids: the objects with the least sum of squared distances to all others of their cluster, which are those nearest to the mean colour; ties by number. Sums and ranks are made before the shuffle too, so that no
     cluster is gathered in one task.
     """
     p = colour_points(objects)
