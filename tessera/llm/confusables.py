@@ -1,37 +1,39 @@
 """Visually identical text with different characters: one consistent form for comparison.
 
-Texts are exploded to positioned code points. A broadcast table of code points, built from the Unicode data of the standard library and a short list of
-look-alike letters, replaces each by its form: wide and narrow forms by ordinary ones, letters of other scripts by the Latin letters they
-are drawn like, space characters by a plain space, invisible characters by nothing. Then strings are rebuilt, and where combining marks
-stand alone, the marks are ordered by class and composed with their base letters.
+Texts are exploded to positioned code points. A broadcast join with the decomposition table, built from the Unicode data of the standard library, replaces each by its parts with their
+combining classes: wide and narrow forms by ordinary ones, accented letters by letter and marks, space characters by a plain space, invisible characters by nothing. A second
+broadcast join with the look-alike table replaces letters of other scripts by the Latin letters they are drawn like. Marks are ordered by class behind the last starter, strings are
+rebuilt, and letters with marks that have a character of their own are recomposed; Hangul syllables stay decomposed, which is as good for comparison.
 
 What can be seen is kept: case, digits, raised digits, punctuation, accents, line breaks, ligatures, emoji sequences.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Letters that are drawn like a Latin letter, by script.
 LOOK_ALIKES = {
-    "cyrillic": ("АВЕЅІЈКМНОРСТУХԌԚԜѴҮаеѕіјорсухһԁԛԝӏѵү", "ABESIJKMHOPCTYXGQWVYaesijopcyxhdqwlvy"),
-    "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳνοϲ", "ABEZHIKMNOPTYXCjvoc"),
+    "cyrillic": ("АВЕЅІӀЈКМНОРСТУХԌԚԜѴҮаеѕіјорсухһԁԛԝӏѵү", "ABESIIJKMHOPCTYXGQWVYaesijopcyxhdqwlvy"),
+    "greek": ("ΑΒΕΖΗΙͿΚΜΝΟΡΤΥΧϹϳνορϲ", "ABEZHIJKMNOPTYXCjvopc"),
     "armenian": ("ՕՍՏզհյոսցօ", "OUSqhjnugo"),
     "cherokee": ("ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCEHJKLMPSTVWZ"),
+    "coptic": ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "ABEHIKMNOPCTXopc"),
+    "lisu": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
     "katakana": ("ニハカロエタトヘー", "二八力口工夕卜へ一"),
 }
 # Marks that are shown although they belong to the format characters.
 _SHOWN_FORMATS = frozenset("\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u08e2\U000110bd")
 # Invisible characters that are no format characters.
-_HIDDEN = frozenset("\u034f\u17b4\u17b5\u180b\u180c\u180d") | frozenset(map(chr, range(0xFE00, 0xFE10)))
+_HIDDEN = frozenset("\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0") | frozenset(map(chr, [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]))
+_CODE_POINTS = (*range(0x80, 0xD800), *range(0xE002, 0x30000), *range(0xE0000, 0xE01F0))
 _JOINER, _EMOJI_STYLE = "\ue000", "\ue001"  # private code points that stand for them meanwhile
 
 
@@ -40,50 +42,70 @@ def _bases() -> dict[str, str]:
     return {a: b for froms, tos in LOOK_ALIKES.values() for a, b in zip(froms, tos, strict=True)}
 
 
-def _form(ch: str) -> str:
-    """What a single code point looks like."""
+def _parts(ch: str) -> list[tuple[str, int | None]]:
+    """Parts of a code point and their combining classes. An invisible one is an empty part without a class."""
     kind = unicodedata.category(ch)
     if ch in _HIDDEN or kind == "Cf" and ch not in _SHOWN_FORMATS:
-        return ""
-    if kind == "Zs" and ch != " ":
-        return " "
+        return [("", None)]
+    if kind == "Zs":
+        return [(" ", 0)]
     parts = unicodedata.decomposition(ch).split()
     if parts[:1] in (["<wide>"], ["<narrow>"]):
-        ch = "".join(chr(int(x, 16)) for x in parts[1:])
-        if unicodedata.category(ch[0]) == "Zs":
-            return " "
-    bases = _bases()
-    return unicodedata.normalize("NFC", "".join(bases.get(x, x) for x in unicodedata.normalize("NFD", ch)))
+        return [p for x in parts[1:] for p in _parts(chr(int(x, 16)))]
+    return [(x, unicodedata.combining(x)) for x in unicodedata.normalize("NFD", ch)]
+
+
+@lru_cache(1)
+def decompositions() -> dict[str, list[tuple[str, int | None]]]:
+    """Every code point beyond ASCII that has other parts than itself, or a combining class."""
+    out = {}
+    for ch in map(chr, _CODE_POINTS):
+        if (p := _parts(ch)) != [(ch, 0)]:
+            out[ch] = p
+    return out
+
+
+@lru_cache(1)
+def compositions() -> dict[str, str]:
+    """Letters with marks in order that have a character of their own."""
+    marked = ((unicodedata.normalize("NFD", ch), ch) for ch in map(chr, _CODE_POINTS) if not "가" <= ch <= "힣" and unicodedata.normalize("NFC", ch) == ch)
+    return {d: ch for d, ch in marked if d != ch}
 
 
 @lru_cache(1)
 def forms() -> dict[str, str]:
-    """Every code point that has another form, with that form."""
+    """Every code point that alone has another form, with that form."""
+    bases = _bases()
     out = {}
-    for i in range(0x80, 0x30000):
-        if 0xD800 <= i < 0xE002:
-            continue
-        ch = chr(i)
-        if (f := _form(ch)) != ch:
-            out[ch] = f
+    for ch in {*decompositions(), *bases}:
+        form = unicodedata.normalize("NFC", "".join(bases.get(x, x) for x, _ in decompositions().get(ch, [(ch, 0)])))
+        if form != ch:
+            out[ch] = form
     return out
 
 
-def form_table(spark: SparkSession) -> DataFrame:
-    """(ch, form): a few thousand rows, fixed by Unicode, whatever the data."""
-    f = forms()
-    return spark.createDataFrame(pa.table({"ch": list(f), "form": list(f.values())}))
+def decomposition_table(spark: SparkSession) -> DataFrame:
+    """(ch, parts): about fifteen thousand rows, fixed by Unicode, whatever the data."""
+    d = decompositions()
+    kind = pa.list_(pa.struct([("part", pa.string()), ("class", pa.int32())]))
+    return spark.createDataFrame(pa.table({"ch": list(d), "parts": pa.array([[{"part": x, "class": c} for x, c in p] for p in d.values()], kind)}))
+
+
+def look_alike_table(spark: SparkSession) -> DataFrame:
+    """(part, base): the fixed list of look-alike letters."""
+    b = _bases()
+    return spark.createDataFrame(pa.table({"part": list(b), "base": list(b.values())}))
 
 
-@F.pandas_udf(T.StringType())
-def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Order combining marks by class and compose them with their base."""
-    for s in batches:
-        yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def _recomposed(c: Column) -> Column:
+    """Letters with their marks, which are in order, as one character where there is one."""
+    known = F.from_json(F.lit(json.dumps(compositions())), "map<string,string>")
+    clusters = F.regexp_extract_all(c, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
+    return F.when(c.rlike(r"\p{M}"), F.array_join(F.transform(clusters, lambda x: F.when(F.length(x) > 1, F.coalesce(known[x], x)).otherwise(x)), "")).otherwise(c)
 
 
 #: Characters that have no other form: texts of these alone are in the consistent form already.
-_SETTLED = r"\A[\x00-\x7f\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2116\u2122\u2190-\u2328\u3001-\u3030\u3041-\u3078\u307a-\u3093\u4e00-\u9fff]*\z"
+_SETTLED = r"\A[\x00-\x7f\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2116\u2122\u2190-\u2328\u3001-\u3029\u3030\u3041-\u3078\u307a-\u3093\u4e00-\u9fff]*\z"
 _EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
 
 
@@ -95,15 +117,23 @@ def _split(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _formed(rest: DataFrame) -> DataFrame:
-    """(_k, _t, _f) of distinct rows: exploded to code points, mapped, rebuilt in the task of their key, and composed."""
+    """(_k, _t, _f) of distinct rows: exploded to code points, mapped, and rebuilt in the task of their key."""
     # joiners and style marks inside emoji are visible: they are set aside, and come back in the end
-    guarded: Column = F.regexp_replace("_t", rf"(?<={_EMOJI}|{_EMOJI}\x{{FE0F}})\x{{200D}}(?={_EMOJI})", _JOINER)
-    guarded = F.regexp_replace(guarded, rf"(?<={_EMOJI})\x{{FE0F}}", _EMOJI_STYLE)
+    guarded: Column = F.regexp_replace("_t", rf"({_EMOJI}\x{{FE0F}}?)\x{{200D}}(?={_EMOJI})", "$1" + _JOINER)
+    guarded = F.regexp_replace(guarded, rf"({_EMOJI})\x{{FE0F}}", "$1" + _EMOJI_STYLE)
     chars = rest.select("_k", "_t", F.posexplode(F.split(guarded, "")).alias("pos", "ch"))
-    mapped = chars.join(F.broadcast(form_table(rest.sparkSession)), "ch", "left").select("_k", "_t", "pos", F.coalesce("form", "ch").alias("f"))
-    built = mapped.groupBy("_k", "_t").agg(F.collect_list(F.struct("pos", "f")).alias("fs"))
-    joined = F.translate(F.expr("array_join(transform(array_sort(fs), x -> x.f), '')"), _JOINER + _EMOJI_STYLE, "\u200d\ufe0f")
-    return built.select("_k", "_t", _compose(joined).alias("_f"))
+    itself = F.array(F.struct(F.col("ch").alias("part"), F.lit(0).alias("class")))
+    spark = rest.sparkSession
+    parts = chars.join(F.broadcast(decomposition_table(spark)), "ch", "left").select("_k", "_t", "pos", F.posexplode(F.coalesce("parts", itself)).alias("sub", "p"))
+    parts = parts.select("_k", "_t", "pos", "sub", F.col("p.part").alias("part"), F.col("p.class").alias("class"))
+    mapped = parts.join(F.broadcast(look_alike_table(spark)), "part", "left").select("_k", "_t", "pos", "sub", "class", F.coalesce("base", "part").alias("f"))
+    # marks are ordered by class behind the last starter
+    w = W.partitionBy("_k", "_t").orderBy("pos", "sub").rowsBetween(W.unboundedPreceding, W.currentRow)
+    start = F.coalesce(F.max(F.when(F.col("class") == 0, F.struct("pos", "sub"))).over(w), F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("sub")))
+    placed = mapped.select("_k", "_t", F.struct(start.alias("start"), F.coalesce("class", F.lit(0)).alias("class"), "pos", "sub", "f").alias("c"))
+    built = placed.groupBy("_k", "_t").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    text = F.array_join(F.transform("cs", lambda x: x["f"]), "")
+    return built.select("_k", "_t", F.translate(_recomposed(text), _JOINER + _EMOJI_STYLE, "\u200d\ufe0f").alias("_f"))
 
 
 def consistent_form(rows: DataFrame, key: str, text: str, out: str = "form") -> DataFrame:
