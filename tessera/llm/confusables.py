@@ -1,9 +1,9 @@
 """Visually identical text with different characters: one consistent form for comparison.
 
 Texts are exploded to positioned code points. A broadcast join with the decomposition table, built from the Unicode data of the standard library, replaces each by its parts with their
-combining classes: wide and narrow forms by ordinary ones, accented letters by letter and marks, space characters by a plain space, invisible characters by nothing. A second
-broadcast join with the look-alike table replaces letters of other scripts by the Latin letters they are drawn like. Marks are ordered by class behind the last starter, strings are
-rebuilt, and letters with marks that have a character of their own are recomposed; Hangul syllables stay decomposed, which is as good for comparison.
+parts: wide and narrow forms by ordinary ones, accented letters by letter and marks, space characters by a plain space, invisible characters by nothing. A second
+broadcast join with the look-alike table replaces letters of other scripts by the Latin letters they are drawn like. Strings are rebuilt; the marks behind each letter are ordered by
+class, and letters with marks that have a character of their own are recomposed; Hangul syllables stay decomposed, which is as good for comparison.
 
 What can be seen is kept: case, digits, raised digits, punctuation, accents, line breaks, ligatures, emoji sequences.
 """
@@ -16,7 +16,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Letters that are drawn like a Latin letter, by script.
@@ -42,27 +41,41 @@ def _bases() -> dict[str, str]:
     return {a: b for froms, tos in LOOK_ALIKES.values() for a, b in zip(froms, tos, strict=True)}
 
 
-def _parts(ch: str) -> list[tuple[str, int | None]]:
-    """Parts of a code point and their combining classes. An invisible one is an empty part without a class."""
+def _parts(ch: str) -> list[str]:
+    """Parts of a code point; none if it is invisible."""
     kind = unicodedata.category(ch)
     if ch in _HIDDEN or kind == "Cf" and ch not in _SHOWN_FORMATS:
-        return [("", None)]
+        return []
     if kind == "Zs":
-        return [(" ", 0)]
+        return [" "]
     parts = unicodedata.decomposition(ch).split()
     if parts[:1] in (["<wide>"], ["<narrow>"]):
         return [p for x in parts[1:] for p in _parts(chr(int(x, 16)))]
-    return [(x, unicodedata.combining(x)) for x in unicodedata.normalize("NFD", ch)]
+    return list(unicodedata.normalize("NFD", ch))
 
 
 @lru_cache(1)
-def decompositions() -> dict[str, list[tuple[str, int | None]]]:
-    """Every code point beyond ASCII that has other parts than itself, or a combining class."""
-    out = {}
-    for ch in map(chr, _CODE_POINTS):
-        if (p := _parts(ch)) != [(ch, 0)]:
-            out[ch] = p
-    return out
+def decompositions() -> dict[str, list[str]]:
+    """Every code point beyond ASCII that has other parts than itself."""
+    return {ch: p for ch in map(chr, _CODE_POINTS) if (p := _parts(ch)) != [ch]}
+
+
+@lru_cache(1)
+def mark_classes() -> dict[str, int]:
+    """Combining marks that are ordered, with their class."""
+    return {ch: c for ch in map(chr, _CODE_POINTS) if (c := unicodedata.combining(ch))}
+
+
+@lru_cache(1)
+def _mark_set() -> str:
+    """The marks as ranges of a regular expression."""
+    spans: list[list[int]] = []
+    for i in map(ord, mark_classes()):
+        if spans and spans[-1][1] == i - 1:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
 
 
 @lru_cache(1)
@@ -78,7 +91,7 @@ def forms() -> dict[str, str]:
     bases = _bases()
     out = {}
     for ch in {*decompositions(), *bases}:
-        form = unicodedata.normalize("NFC", "".join(bases.get(x, x) for x, _ in decompositions().get(ch, [(ch, 0)])))
+        form = unicodedata.normalize("NFC", "".join(bases.get(x, x) for x in decompositions().get(ch, [ch])))
         if form != ch:
             out[ch] = form
     return out
@@ -87,8 +100,7 @@ def forms() -> dict[str, str]:
 def decomposition_table(spark: SparkSession) -> DataFrame:
     """(ch, parts): about fifteen thousand rows, fixed by Unicode, whatever the data."""
     d = decompositions()
-    kind = pa.list_(pa.struct([("part", pa.string()), ("class", pa.int32())]))
-    return spark.createDataFrame(pa.table({"ch": list(d), "parts": pa.array([[{"part": x, "class": c} for x, c in p] for p in d.values()], kind)}))
+    return spark.createDataFrame(pa.table({"ch": list(d), "parts": pa.array(list(d.values()), pa.list_(pa.string()))}))
 
 
 def look_alike_table(spark: SparkSession) -> DataFrame:
@@ -98,10 +110,21 @@ def look_alike_table(spark: SparkSession) -> DataFrame:
 
 
 def _recomposed(c: Column) -> Column:
-    """Letters with their marks, which are in order, as one character where there is one."""
+    """Marks behind each letter in order of their class, and letters with their marks as one character where there is one. Only texts that hold marks are taken apart."""
     known = F.from_json(F.lit(json.dumps(compositions())), "map<string,string>")
-    clusters = F.regexp_extract_all(c, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
-    return F.when(c.rlike(r"\p{M}"), F.array_join(F.transform(clusters, lambda x: F.when(F.length(x) > 1, F.coalesce(known[x], x)).otherwise(x)), "")).otherwise(c)
+    classes = F.from_json(F.lit(json.dumps(mark_classes())), "map<string,int>")
+    marks = _mark_set()
+    clusters = F.regexp_extract_all(c, F.lit(rf"(?s)[^{marks}][{marks}]*|[{marks}]+"), F.lit(0))
+
+    def ordered(x: Column) -> Column:
+        placed = F.array_sort(F.transform(F.split(x, ""), lambda ch, i: F.struct(F.coalesce(classes[ch], F.lit(0)).alias("class"), i.alias("at"), ch.alias("ch"))))
+        return F.array_join(F.transform(placed, lambda p: p["ch"]), "")
+
+    def one(x: Column) -> Column:
+        y = F.when(F.length(x) > 2, ordered(x)).otherwise(x)
+        return F.when(F.length(x) > 1, F.coalesce(known[y], y)).otherwise(x)
+
+    return F.when(c.rlike(rf"[{marks}]"), F.array_join(F.transform(clusters, one), "")).otherwise(c)
 
 
 #: Characters that have no other form: texts of these alone are in the consistent form already.
@@ -122,16 +145,12 @@ def _formed(rest: DataFrame) -> DataFrame:
     guarded: Column = F.regexp_replace("_t", rf"({_EMOJI}\x{{FE0F}}?)\x{{200D}}(?={_EMOJI})", "$1" + _JOINER)
     guarded = F.regexp_replace(guarded, rf"({_EMOJI})\x{{FE0F}}", "$1" + _EMOJI_STYLE)
     chars = rest.select("_k", "_t", F.posexplode(F.split(guarded, "")).alias("pos", "ch"))
-    itself = F.array(F.struct(F.col("ch").alias("part"), F.lit(0).alias("class")))
     spark = rest.sparkSession
-    parts = chars.join(F.broadcast(decomposition_table(spark)), "ch", "left").select("_k", "_t", "pos", F.posexplode(F.coalesce("parts", itself)).alias("sub", "p"))
-    parts = parts.select("_k", "_t", "pos", "sub", F.col("p.part").alias("part"), F.col("p.class").alias("class"))
-    mapped = parts.join(F.broadcast(look_alike_table(spark)), "part", "left").select("_k", "_t", "pos", "sub", "class", F.coalesce("base", "part").alias("f"))
-    # marks are ordered by class behind the last starter
-    w = W.partitionBy("_k", "_t").orderBy("pos", "sub").rowsBetween(W.unboundedPreceding, W.currentRow)
-    start = F.coalesce(F.max(F.when(F.col("class") == 0, F.struct("pos", "sub"))).over(w), F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("sub")))
-    placed = mapped.select("_k", "_t", F.struct(start.alias("start"), F.coalesce("class", F.lit(0)).alias("class"), "pos", "sub", "f").alias("c"))
-    built = placed.groupBy("_k", "_t").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    parts = chars.join(F.broadcast(decomposition_table(spark)), "ch", "left")
+    # an invisible character keeps an empty part, so that a text of such characters alone stays
+    parts = parts.select("_k", "_t", "pos", F.posexplode_outer(F.coalesce("parts", F.array("ch"))).alias("sub", "part"))
+    mapped = parts.join(F.broadcast(look_alike_table(spark)), "part", "left").select("_k", "_t", "pos", "sub", F.coalesce("base", "part", F.lit("")).alias("f"))
+    built = mapped.groupBy("_k", "_t").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "f"))).alias("cs"))
     text = F.array_join(F.transform("cs", lambda x: x["f"]), "")
     return built.select("_k", "_t", F.translate(_recomposed(text), _JOINER + _EMOJI_STYLE, "\u200d\ufe0f").alias("_f"))
 

@@ -15,7 +15,7 @@ def _brute(t):
     t = re.sub("(?<=[\U0001f300-\U0001faff☀-➿])‍(?=[\U0001f300-\U0001faff☀-➿])|(?<=[\U0001f300-\U0001faff☀-➿]️)‍(?=[\U0001f300-\U0001faff☀-➿])", C._JOINER, t)
     t = re.sub("(?<=[\U0001f300-\U0001faff☀-➿])️", C._EMOJI_STYLE, t)
     bases = C._bases()
-    parts = "".join(x for ch in t for x, _ in C.decompositions().get(ch, [(ch, 0)]))
+    parts = "".join(x for ch in t for x in C.decompositions().get(ch, [ch]))
     parts = "".join(bases.get(x, x) for x in unicodedata.normalize("NFD", parts))
     return unicodedata.normalize("NFC", parts).replace(C._JOINER, "‍").replace(C._EMOJI_STYLE, "️")
 
