@@ -211,36 +211,39 @@ def with_packed_of_lab(df: DataFrame, lab: tuple[str, str, str], out: str) -> Da
 
 
 def with_ciede2000(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Add CIE Delta E 2000 of two L*a*b* colours with these prefixes, with unit parametric factors, after the published formula."""
-    import math
+    """Add the CIE 2000 colour difference of two L*a*b* colours with these prefixes, all parametric factors being one.
 
-    pi, cap = math.pi, 25.0**7
-    c = F.col
-    seven = lambda x: F.pow(x, F.lit(7.0))
+    The steps are those of the CIE definition, with hue angles in degrees: chroma with its correction of a*, hue difference and mean hue on the circle, weighting functions, rotation of blue hues.
+    """
     keep = [*df.columns, out]
-    df = df.withColumn("_mc", (F.hypot(f"{a}a", f"{a}b") + F.hypot(f"{b}a", f"{b}b")) / 2)
-    df = df.withColumn("_g", (F.lit(1.0) - F.sqrt(seven(c("_mc")) / (seven(c("_mc")) + cap))) * 0.5 + 1)
-    df = df.withColumns({"_x1": c(f"{a}a") * c("_g"), "_x2": c(f"{b}a") * c("_g")})
-    df = df.withColumns({"_c1": F.hypot("_x1", f"{a}b"), "_c2": F.hypot("_x2", f"{b}b"), "_h1": F.atan2(f"{a}b", "_x1"), "_h2": F.atan2(f"{b}b", "_x2")})
-    df = df.withColumns({h: c(h) + F.when(c(h) < 0, 2 * pi).otherwise(0.0) for h in ("_h1", "_h2")})
-    df = df.withColumns({"_apart": F.abs(c("_h2") - c("_h1")) > pi, "_half": (c("_h2") - c("_h1")) / 2, "_mc": (c("_c1") + c("_c2")) / 2})
+    c = F.col
+    part = lambda x: F.sqrt(F.pow(x, F.lit(7.0)) / (F.pow(x, F.lit(7.0)) + 25.0**7))
+    cosd = lambda x: F.cos(F.radians(x))
+    df = df.withColumn("_g", part((F.hypot(f"{a}a", f"{a}b") + F.hypot(f"{b}a", f"{b}b")) / 2) * -0.5 + 1.5)
+    df = df.withColumns({f"_a{i}": c(f"{p}a") * c("_g") for i, p in ((1, a), (2, b))})
+    df = df.withColumns({f"_c{i}": F.hypot(f"_a{i}", f"{p}b") for i, p in ((1, a), (2, b))})
+    # a gray has no hue; zero stands for it
+    df = df.withColumns({f"_h{i}": F.when(c(f"_c{i}") == 0, 0.0).otherwise(F.pmod(F.degrees(F.atan2(c(f"{p}b"), c(f"_a{i}"))), F.lit(360.0))) for i, p in ((1, a), (2, b))})
+    turn, total = c("_h2") - c("_h1"), c("_h1") + c("_h2")
+    gray = c("_c1") * c("_c2") == 0
     df = df.withColumns(
         {
-            "_mh": (c("_h1") + c("_h2")) / 2 + F.when(c("_apart"), pi).otherwise(0.0),
-            "_half": c("_half") + F.when(c("_apart"), F.when(c("_half") > 0, pi).otherwise(-pi)).otherwise(0.0),
-            "_ml": F.pow((c(f"{a}l") + c(f"{b}l")) / 2 - 50, F.lit(2.0)),
+            "_dh": F.when(gray, 0.0).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn),
+            "_hm": F.when(gray, total).when(F.abs(turn) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2),
+            "_cm": (c("_c1") + c("_c2")) / 2,
+            "_l2": F.pow((c(f"{a}l") + c(f"{b}l")) / 2 - 50, F.lit(2.0)),
         }
     )
-    mh, mc = c("_mh"), c("_mc")
-    p = mh * 36 - 55 * pi
-    t = F.lit(1.0) + F.sin(mh * 2 + pi / 2) * 0.24 + F.sin(mh * 3 + 8 * pi / 15) * 0.32 - F.sin(mh + pi / 3) * 0.17 - F.sin(mh * 4 + 3 * pi / 20) * 0.20
+    h, cm = c("_hm"), c("_cm")
+    t = F.lit(1.0) - cosd(h - 30) * 0.17 + cosd(h * 2) * 0.24 + cosd(h * 3 + 6) * 0.32 - cosd(h * 4 - 63) * 0.20
+    spread = (h - 275) / 25
     df = df.withColumns(
         {
-            "_rt": F.sqrt(seven(mc) / (seven(mc) + cap)) * -2.0 * F.sin(F.exp(p * p / (-25.0 * pi * pi)) * (pi / 3)),
-            "_dl": (c(f"{b}l") - c(f"{a}l")) / (c("_ml") * 0.015 / F.sqrt(c("_ml") + 20) + 1),
-            "_dh": F.sqrt(c("_c1") * c("_c2")) * 2 * F.sin("_half") / (mc * 0.015 * t + 1),
-            "_dc": (c("_c2") - c("_c1")) / (mc * 0.045 + 1),
+            "_dl": (c(f"{b}l") - c(f"{a}l")) / (F.lit(1.0) + c("_l2") * 0.015 / F.sqrt(c("_l2") + 20)),
+            "_dc": (c("_c2") - c("_c1")) / (F.lit(1.0) + cm * 0.045),
+            "_dh": F.sqrt(c("_c1") * c("_c2")) * 2 * F.sin(F.radians(c("_dh") / 2)) / (F.lit(1.0) + cm * 0.015 * t),
+            "_rt": part(cm) * -2 * F.sin(F.radians(F.exp(-(spread * spread)) * 60)),
         }
     )
-    dl, dh, dc = c("_dl"), c("_dh"), c("_dc")
-    return df.withColumn(out, F.sqrt(dl * dl + dh * dh + dc * dc + dc * dh * c("_rt"))).select(*keep)
+    dl, dc, dh = c("_dl"), c("_dc"), c("_dh")
+    return df.withColumn(out, F.sqrt(F.greatest(F.lit(0.0), dl * dl + dc * dc + dh * dh + c("_rt") * dc * dh))).select(*keep)

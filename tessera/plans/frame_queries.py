@@ -271,7 +271,16 @@ def run_psnr(spark: SparkSession, d: str) -> DataFrame:
     return m.select("run_id", F.round("m", 6).alias("mse"), F.round(C.psnr(F.col("m")), 4).alias("psnr"), "below")
 
 
-@query()
+_P7 = "sqrt(pow({0}, 7) / (pow({0}, 7) + 6103515625.0))"
+
+
+@query(_LAB2.split("h AS (SELECT")[0] + f"""g AS (SELECT object_id, L l1, a a1, bb b1, L2 l2, a2, b2, 1.5 - 0.5 * {_P7.format('((sqrt(a * a + bb * bb) + sqrt(a2 * a2 + b2 * b2)) / 2)')} g FROM n WHERE L2 IS NOT NULL),
+q AS (SELECT object_id, l1, l2, sqrt(pow(a1 * g, 2) + b1 * b1) c1, sqrt(pow(a2 * g, 2) + b2 * b2) c2, (degrees(atan2(b1, a1 * g)) + 360) % 360 h1, (degrees(atan2(b2, a2 * g)) + 360) % 360 h2 FROM g),
+r AS (SELECT *, (c1 + c2) / 2 cm, pow((l1 + l2) / 2 - 50, 2) k, CASE WHEN h2 - h1 > 180 THEN h2 - h1 - 360 WHEN h2 - h1 < -180 THEN h2 - h1 + 360 ELSE h2 - h1 END dh,
+ CASE WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END hm FROM q),
+u AS (SELECT object_id, (l2 - l1) / (1 + 0.015 * k / sqrt(20 + k)) x, (c2 - c1) / (1 + 0.045 * cm) y, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) /
+ (1 + 0.015 * cm * (1 - 0.17 * cos(radians(hm - 30)) + 0.24 * cos(radians(2 * hm)) + 0.32 * cos(radians(3 * hm + 6)) - 0.2 * cos(radians(4 * hm - 63)))) z,
+ -2 * {_P7.format('cm')} * sin(radians(60 * exp(-pow((hm - 275) / 25, 2)))) t FROM r) SELECT object_id, round(sqrt(greatest(0, x * x + y * y + z * z + t * y * z)), 4) AS delta_e FROM u""")
 def ciede2000(spark: SparkSession, d: str) -> DataFrame:
     return C.with_ciede2000(_lab_pairs(spark, d), "x", "y", "e").select("object_id", F.round("e", 4).alias("delta_e"))
 
