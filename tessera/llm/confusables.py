@@ -1,9 +1,9 @@
 """Visually identical text with different characters: one consistent form for comparison.
 
-Texts are exploded to positioned code points. A broadcast join with the decomposition table, built from the Unicode data of the standard library, replaces each by its parts with their
-parts: wide and narrow forms by ordinary ones, accented letters by letter and marks, space characters by a plain space, invisible characters by nothing. A second
-broadcast join with the look-alike table replaces letters of other scripts by the Latin letters they are drawn like. Strings are rebuilt; the marks behind each letter are ordered by
-class, and letters with marks that have a character of their own are recomposed; Hangul syllables stay decomposed, which is as good for comparison.
+Texts are exploded to positioned code points. The decomposition table, built from the Unicode data of the standard library, splits a code point into its parts: wide and narrow forms into
+ordinary ones, accented letters into letter and marks, space characters into a plain space, invisible characters into nothing; the look-alike table replaces letters of other scripts by the Latin
+letters they are drawn like. Both are fixed, so that they are joined with each other once, and code points meet the result in one broadcast join. Strings are rebuilt; where they hold marks of
+their own, these are ordered by class behind their letter, and letters with marks that have a character of their own are recomposed.
 
 What can be seen is kept: case, digits, raised digits, punctuation, accents, line breaks, ligatures, emoji sequences.
 """
@@ -66,18 +66,6 @@ def mark_classes() -> dict[str, int]:
     return {ch: c for ch in map(chr, _CODE_POINTS) if (c := unicodedata.combining(ch))}
 
 
-@lru_cache(1)
-def _mark_set() -> str:
-    """The marks as ranges of a regular expression."""
-    spans: list[list[int]] = []
-    for i in map(ord, mark_classes()):
-        if spans and spans[-1][1] == i - 1:
-            spans[-1][1] = i
-        else:
-            spans.append([i, i])
-    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
-
-
 @lru_cache(1)
 def compositions() -> dict[str, str]:
     """Letters with marks in order that have a character of their own."""
@@ -98,7 +86,7 @@ def forms() -> dict[str, str]:
 
 
 def decomposition_table(spark: SparkSession) -> DataFrame:
-    """(ch, parts): about fifteen thousand rows, fixed by Unicode, whatever the data."""
+    """(ch, parts): some thousand rows, fixed by Unicode, whatever the data."""
     d = decompositions()
     return spark.createDataFrame(pa.table({"ch": list(d), "parts": pa.array(list(d.values()), pa.list_(pa.string()))}))
 
@@ -109,22 +97,39 @@ def look_alike_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pa.table({"part": list(b), "base": list(b.values())}))
 
 
+def form_table(spark: SparkSession) -> DataFrame:
+    """(ch, form): the decompositions joined with the look-alikes, recomposed where a character of its own remains."""
+    alone = look_alike_table(spark).select(F.col("part").alias("ch"), F.array("part").alias("parts"))
+    d = decomposition_table(spark)
+    parts = d.unionByName(alone.join(d, "ch", "left_anti")).select("ch", F.posexplode_outer("parts").alias("at", "part"))
+    mapped = parts.join(look_alike_table(spark), "part", "left").select("ch", F.struct("at", F.coalesce("base", "part", F.lit("")).alias("f")).alias("p"))
+    form = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["f"]), "")
+    return mapped.groupBy("ch").agg(form.alias("form")).select("ch", _recomposed(F.col("form")).alias("form")).filter("ch <> form")
+
+
+def _map(entries: dict, kind: str) -> Column:
+    """A map of fixed entries."""
+    return F.from_json(F.lit(json.dumps(entries)), f"map<string,{kind}>")
+
+
 def _recomposed(c: Column) -> Column:
-    """Marks behind each letter in order of their class, and letters with their marks as one character where there is one. Only texts that hold marks are taken apart."""
-    known = F.from_json(F.lit(json.dumps(compositions())), "map<string,string>")
-    classes = F.from_json(F.lit(json.dumps(mark_classes())), "map<string,int>")
-    marks = _mark_set()
-    clusters = F.regexp_extract_all(c, F.lit(rf"(?s)[^{marks}][{marks}]*|[{marks}]+"), F.lit(0))
+    """Letters are taken apart, marks behind each letter put in order of their class, and letters with marks written as one character where there is one. Only where a text holds marks."""
+    known, apart, classes = _map(compositions(), "string"), _map({x: d for d, x in compositions().items()}, "string"), _map(mark_classes(), "int")
+    clusters = F.regexp_extract_all(c, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
 
     def ordered(x: Column) -> Column:
-        placed = F.array_sort(F.transform(F.split(x, ""), lambda ch, i: F.struct(F.coalesce(classes[ch], F.lit(0)).alias("class"), i.alias("at"), ch.alias("ch"))))
+        """Marks of class 0 stay where they are, the others are sorted between them."""
+        chars = F.split(x, "")
+        group = lambda i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda ch: F.coalesce(classes[ch], F.lit(0)) == 0))
+        placed = F.array_sort(F.transform(chars, lambda ch, i: F.struct(group(i).alias("g"), F.coalesce(classes[ch], F.lit(0)).alias("class"), i.alias("at"), ch.alias("ch"))))
         return F.array_join(F.transform(placed, lambda p: p["ch"]), "")
 
     def one(x: Column) -> Column:
-        y = F.when(F.length(x) > 2, ordered(x)).otherwise(x)
+        first = F.substring(x, 1, 1)
+        y = ordered(F.concat(F.coalesce(apart[first], first), x.substr(F.lit(2), F.length(x))))
         return F.when(F.length(x) > 1, F.coalesce(known[y], y)).otherwise(x)
 
-    return F.when(c.rlike(rf"[{marks}]"), F.array_join(F.transform(clusters, one), "")).otherwise(c)
+    return F.when(c.rlike(r"\p{M}"), F.array_join(F.transform(clusters, one), "")).otherwise(c)
 
 
 #: Characters that have no other form: texts of these alone are in the consistent form already.
@@ -133,24 +138,21 @@ _EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
 
 
 def _split(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose text is in its form already, and the distinct other ones."""
+    """Rows whose text is in its form already, and the distinct other ones, with a hash of the text by which its code points stay together."""
     rows = rows.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     settled = F.coalesce(F.col("_t").rlike(_SETTLED), F.lit(True))
-    return rows.filter(settled).select("_k", "_t", F.col("_t").alias("_f")), rows.filter(~settled).distinct()
+    rest = rows.filter(~settled).withColumn("_h", F.xxhash64("_t")).groupBy("_k", "_h").agg(F.first("_t").alias("_t"))
+    return rows.filter(settled).select("_k", "_t", F.col("_t").alias("_f")), rest
 
 
 def _formed(rest: DataFrame) -> DataFrame:
-    """(_k, _t, _f) of distinct rows: exploded to code points, mapped, and rebuilt in the task of their key."""
+    """(_k, _t, _f) of distinct rows: exploded to code points, mapped, and rebuilt in the task of their key. Only the first code point carries the text."""
     # joiners and style marks inside emoji are visible: they are set aside, and come back in the end
     guarded: Column = F.regexp_replace("_t", rf"({_EMOJI}\x{{FE0F}}?)\x{{200D}}(?={_EMOJI})", "$1" + _JOINER)
     guarded = F.regexp_replace(guarded, rf"({_EMOJI})\x{{FE0F}}", "$1" + _EMOJI_STYLE)
-    chars = rest.select("_k", "_t", F.posexplode(F.split(guarded, "")).alias("pos", "ch"))
-    spark = rest.sparkSession
-    parts = chars.join(F.broadcast(decomposition_table(spark)), "ch", "left")
-    # an invisible character keeps an empty part, so that a text of such characters alone stays
-    parts = parts.select("_k", "_t", "pos", F.posexplode_outer(F.coalesce("parts", F.array("ch"))).alias("sub", "part"))
-    mapped = parts.join(F.broadcast(look_alike_table(spark)), "part", "left").select("_k", "_t", "pos", "sub", F.coalesce("base", "part", F.lit("")).alias("f"))
-    built = mapped.groupBy("_k", "_t").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "f"))).alias("cs"))
+    chars = rest.select("_k", "_h", "_t", F.posexplode(F.split(guarded, "")).alias("pos", "ch")).withColumn("_t", F.when(F.col("pos") == 0, F.col("_t")))
+    mapped = chars.join(F.broadcast(form_table(rest.sparkSession)), "ch", "left").select("_k", "_h", "_t", F.struct("pos", F.coalesce("form", "ch").alias("f")).alias("c"))
+    built = mapped.groupBy("_k", "_h").agg(F.max("_t").alias("_t"), F.array_sort(F.collect_list("c")).alias("cs"))
     text = F.array_join(F.transform("cs", lambda x: x["f"]), "")
     return built.select("_k", "_t", F.translate(_recomposed(text), _JOINER + _EMOJI_STYLE, "\u200d\ufe0f").alias("_f"))
 
