@@ -45,8 +45,10 @@ def pack_bits(df: DataFrame, keys: list[str], pos: str, value: str, bits: int, o
     return df.groupBy(*keys, F.floor(F.col(pos) / k).cast("int").alias(pos)).agg(F.sum(part).alias(out))
 
 
-def start_indices(df: DataFrame, keys: list[str], order: str, length: str, out: str = "start") -> DataFrame:
-    """Exclusive prefix sums of lengths."""
+def start_indices(df: DataFrame, keys: list[str], order: str, length: str, out: str = "start", slot: Column | None = None) -> DataFrame:
+    """Exclusive prefix sums of lengths. With ``slot``, hot keys are split, see ``running``."""
+    if slot is not None:
+        return running(df, keys, order, length, slot).withColumnRenamed("_before", out).drop("_first", "_last")
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return df.withColumn(out, F.coalesce(F.sum(length).over(w), F.lit(0)))
 
@@ -62,26 +64,49 @@ def delta_decode(df: DataFrame, keys: list[str], order: str, delta: str, bits: i
     return df.withColumn(out, F.pmod(F.sum(F.col(delta).cast("long")).over(w), F.lit(1 << bits)))
 
 
-def delta_image(df: DataFrame, keys: list[str], order: str, value: str, bits: int, out: str = "diff") -> DataFrame:
-    """Stateful frame difference whose state is the last difference: ``x1 - x2 - ... - xn`` for frame n > 1, modulo 2^bits."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+def running(df: DataFrame, keys: list[str], order: str, value: str, slot: Column) -> DataFrame:
+    """Adds ``_before`` (sum of the earlier values), ``_first`` (first value) and ``_last`` (the value before) of each row within its keys.
+
+    A key may hold any share of the rows: its rows are cut into ranges by ``slot``, a column that grows with ``order``. Sums, first and last values of the ranges, one row for each, are carried from range to range,
+    and the rows of a range are sorted on their own.
+    """
+    df = df.withColumn("_slot", slot)
+    v = F.col(value).cast("long")
+    ends = df.groupBy(*keys, "_slot").agg(F.sum(v).alias("_s"), F.min(F.struct(F.col(order).alias("o"), v.alias("v"))).alias("_lo"), F.max(F.struct(F.col(order).alias("o"), v.alias("v"))).alias("_hi"))
+    w = W.partitionBy(*keys).orderBy("_slot")
+    until = w.rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slot").alias("_sl"), F.coalesce(F.sum("_s").over(until), F.lit(0)).alias("_c"),
+        F.first("_lo.v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_first"), F.lag("_hi.v").over(w).alias("_prev"),
+    )
+    wi = W.partitionBy(*keys, "_slot").orderBy(order)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_slot").eqNullSafe(F.col("_sl"))]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    own = df.withColumn("_o", F.coalesce(F.sum(v).over(wi.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_l", F.lag(v).over(wi))
+    j = own.join(carried, cond)
+    return j.withColumn("_before", F.col("_o") + F.col("_c")).withColumn("_last", F.coalesce("_l", "_prev")).drop("_slot", "_sl", "_o", "_l", "_c", "_prev", *(f"_k{i}" for i in range(len(keys))))
+
+
+def delta_image(df: DataFrame, keys: list[str], order: str, value: str, bits: int, out: str = "diff", slot: Column | None = None) -> DataFrame:
+    """Stateful frame difference whose state is the last difference: ``x1 - x2 - ... - xn`` for frame n > 1, modulo 2^bits. With ``slot``, hot keys are split, see ``running``."""
     v = F.col(value).cast("long")
+    if slot is not None:
+        r = running(df, keys, order, value, slot)
+        return r.withColumn(out, F.pmod(F.col("_first") * 2 - F.col("_before") - v, F.lit(1 << bits))).drop("_before", "_first", "_last")
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn(out, F.pmod(F.first(v).over(w) * 2 - F.sum(v).over(w), F.lit(1 << bits)))
 
 
-def delta_image_successive(df: DataFrame, keys: list[str], order: str, value: str, bits: int, out: str = "diff") -> DataFrame:
+def delta_image_successive(df: DataFrame, keys: list[str], order: str, value: str, bits: int, out: str = "diff", slot: Column | None = None) -> DataFrame:
     """Difference of successive frames, the first as it is."""
+    if slot is not None:
+        r = running(df, keys, order, value, slot)
+        return r.withColumn(out, F.pmod(F.col(value) - F.coalesce("_last", F.lit(0)), F.lit(1 << bits))).drop("_before", "_first", "_last")
     return delta_encode(df, keys, order, value, bits, out)
 
 
 def interleave(df: DataFrame, keys: list[str], set_no: str, pos: str, n_sets: int, out: str = "at") -> DataFrame:
     """Place of every value when the sets are interleaved: a0 b0 a1 b1 ..."""
     return df.withColumn(out, F.col(pos) * n_sets + F.col(set_no))
-
-
-def interleave_nibbles(df: DataFrame, keys: list[str], set_no: str, pos: str, value: str, out: str = "b") -> DataFrame:
-    """Two sets of bytes as nibbles: bytes with both low nibbles first, then bytes with both high ones, set 0 in the low bits."""
-    p = df.groupBy(*keys, pos).agg(*(F.max(F.when(F.col(set_no) == i, F.col(value))).alias(f"s{i}") for i in (0, 1)))
-    low = (F.col("s1") % 16) * 16 + F.col("s0") % 16
-    high = F.floor(F.col("s1") / 16) * 16 + F.floor(F.col("s0") / 16)
-    return p.select(*keys, F.posexplode(F.array(low.cast("long"), high.cast("long"))).alias("half", out), F.col(pos)).select(*keys, (F.col(pos) * 2 + F.col("half")).alias(pos), out)

@@ -5,6 +5,8 @@ A palette has at most 256 entries, a bound by definition: it may be broadcast, o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,26 +40,46 @@ def to_black_white(gray: Column, threshold: float) -> Column:
     return F.when(gray < threshold, 0).otherwise(1)
 
 
+def palette_of(mapping: DataFrame, target: str = "target") -> list[int]:
+    """Palette colours of a mapping in their order; more than 256 are an error."""
+    few = [r[0] for r in mapping.select(target).distinct().orderBy(target).limit(MAX_COLORS + 1).collect()]
+    if len(few) > MAX_COLORS:
+        raise ValueError("a palette has at most 256 colours")
+    return few
+
+
 def quantize_closest(pixels: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Index of every pixel; ``mapping`` (xrgb, target) sends colours to palette colours, whose indices follow their order."""
-    idx = mapping.select("target").distinct().withColumn("idx", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("target")) - 1)
-    return pixels.join(mapping, "xrgb").join(F.broadcast(idx), "target").drop("target")
+    """Index of every pixel; ``mapping`` (xrgb, target) sends colours to palette colours, whose indices follow their order. The palette is counted first, and found by position in an array."""
+    pal = palette_of(mapping)
+    if not pal:
+        return pixels.join(mapping.select("xrgb"), "xrgb").withColumn("idx", F.lit(0))
+    idx = F.array_position(F.array(*map(F.lit, pal)), F.col("target")).cast("int") - 1
+    return pixels.join(mapping.select("xrgb", idx.alias("idx")), "xrgb")
 
 
 def nearest(colors: DataFrame, pal: DataFrame, value: str = "xrgb") -> DataFrame:
     """(value, idx, dist) of each distinct colour: the first palette entry with the least distance.
 
-    The palette is bounded by 256 entries: it is folded into one array row, so that each colour is compared where it stands and no row is multiplied.
+    The palette is bounded by 256 entries: it is one array, so that each colour is compared where it stands and no row is multiplied. The distances of an Arrow batch are one matrix.
     """
     rows = pal.select("idx", "xrgb").orderBy("idx").limit(MAX_COLORS + 1).collect()
     if len(rows) > MAX_COLORS:
         raise ValueError("a palette has at most 256 colours")
-    rgb = [C.to_rgbf(F.lit(r["xrgb"])) for r in rows]
-    own = C.to_rgbf(F.col(value))
-    best = F.least(*(F.struct(F.round(C.mse_rgb(own, x), 9).alias("dist"), F.lit(r["idx"]).alias("idx")) for r, x in zip(rows, rgb))) if len(rows) > 1 else F.struct(
-        F.round(C.mse_rgb(own, rgb[0]), 9).alias("dist"), F.lit(rows[0]["idx"]).alias("idx")
-    )
-    return colors.select(value).distinct().withColumn("best", best).select(value, F.col("best.idx").alias("idx"), F.col("best.dist").alias("dist"))
+    idx, p = np.array([r["idx"] for r in rows], np.int64), np.array([r["xrgb"] for r in rows], np.int64)
+    b = np.stack([p >> 16 & 255, p >> 8 & 255, p & 255]) / 255.0
+
+    @F.pandas_udf("idx int, dist double")
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            v = s.to_numpy(np.int64)
+            a = np.stack([v >> 16 & 255, v >> 8 & 255, v & 255]) / 255.0
+            r, g, bl = (a[i][:, None] - b[i][None] for i in range(3))
+            mean = (a[0][:, None] + b[0][None]) / 2
+            d = np.round(((2 + mean) * r * r + 4 * g * g + (3 - mean) * bl * bl) / 9, 9)
+            at = d.argmin(1)
+            yield pd.DataFrame({"idx": idx[at].astype("int32"), "dist": d[np.arange(len(v)), at]})
+
+    return colors.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("best", best(value)).select(value, F.col("best.idx").alias("idx"), F.col("best.dist").alias("dist"))
 
 
 def add_color0(palette: Column, color: int) -> Column:
@@ -65,6 +87,11 @@ def add_color0(palette: Column, color: int) -> Column:
     return F.when(F.size(palette) <= 255, F.concat(F.array(F.lit(color)), palette)).otherwise(F.raise_error(F.lit("a palette with 256 colours has no room")))
 
 
+def add_index0(v: Column) -> Column:
+    """Pixel index after ``add_color0``; an error if it would pass 255."""
+    return F.when(v < 255, v + 1).otherwise(F.raise_error(F.lit("an index passes 255")))
+
+
 def move_color0(palette: Column, color: int) -> Column:
     """Palette with the colour swapped to index 0; an error if it isn't there."""
     at = F.array_position(palette, F.lit(color)).cast("int")
@@ -114,11 +141,7 @@ def distance_order(colors: list[int]) -> list[int]:
 
 def lab_of(xrgb: np.ndarray) -> np.ndarray:
     """L*a*b* of packed colours, linearised first."""
-    rgb = np.stack([xrgb >> 16 & 255, xrgb >> 8 & 255, xrgb & 255], -1) / 255.0
-    lin = np.where(rgb <= 0.04045, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4)
-    xyz = lin @ np.array(C.RGB_TO_XYZ).T / np.array(C.WHITE)
-    f = np.where(xyz > C.EPSILON, np.cbrt(xyz), (C.KAPPA * xyz + 16) / 116)
-    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+    return _lab(np.stack([xrgb >> 16 & 255, xrgb >> 8 & 255, xrgb & 255], -1) / 255.0)
 
 
 def hyab_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,3 +220,47 @@ def reduce_frames(df: DataFrame, key: str, value: str, n: int, grid: str = "xrgb
         return pd.DataFrame({key: pdf[key], value: pdf[value], "target": t.astype("int32")})
 
     return hist.groupBy(key).applyInPandas(run, f"{key} long, {value} int, target int")
+
+
+def reduce_common(df: DataFrame, value: str, n: int, grid: str = "xrgb1555", rounds: int = 2) -> DataFrame:
+    """(value, target): one palette for the colours of all rows, however many there are.
+
+    All colours count: they are summed up by cells of five bits a channel, of which there are at most 32768, and the means of the cells, weighted with their pixels, give the centres. Then each distinct colour goes
+    to its nearest centre, and centres move to the weighted means of their colours, in ``rounds`` passes over the distinct colours that only bring sums to the driver.
+    """
+    spark = df.sparkSession
+    hist = histogram(df.filter(F.col(value).isNotNull()), value)
+    ch = [F.shiftright(value, s).bitwiseAND(F.lit(255)) for s in (16, 8, 0)]
+    cell = F.expr(f"shiftright({value} & 16252928, 9) + shiftright({value} & 63488, 6) + shiftright({value} & 248, 3)")
+    cells = hist.groupBy(cell.alias("cell")).agg(F.count("*").alias("k"), F.sum("n").alias("n"), *(F.sum(c * F.col("n")).alias(x) for c, x in zip(ch, "rgb"))).orderBy("cell").toPandas()
+    if cells["k"].sum() <= n:
+        return hist.select(value, F.col(value).alias("target"))
+    w = cells["n"].to_numpy(float)
+    mean = cells[["r", "g", "b"]].to_numpy(float) / w[:, None]
+    centers = online_kmeans(_lab(mean / 255), w, maximin_seeds(_lab(mean / 255), min(n, len(w))))
+    snapped: list[int] = []
+    for last in [False] * max(1, rounds) + [True]:
+        shared = spark.sparkContext.broadcast(centers)
+
+        @F.pandas_udf("int")
+        def own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                yield pd.Series(np.argmin(hyab_matrix(lab_of(s.to_numpy(np.int64)), shared.value), 1).astype("int32"))
+
+        if last:
+            break
+
+        sums = hist.withColumn("_k", own(value)).groupBy("_k").agg(F.sum("n").alias("n"), *(F.sum(c * F.col("n")).alias(x) for c, x in zip(ch, "rgb"))).toPandas()  # one row for each centre
+        snapped = [0] * len(centers)
+        for k, count, *rgb in sums.itertuples(index=False):
+            snapped[k] = _snap(np.array(rgb, float) / count, grid)
+        centers = lab_of(np.array(snapped))
+    return hist.select(value, F.element_at(F.array(*map(F.lit, snapped)), own(value) + 1).alias("target"))
+
+
+def _lab(rgb: np.ndarray) -> np.ndarray:
+    """L*a*b* of channels in 0..1, linearised first."""
+    lin = np.where(rgb <= 0.04045, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4)
+    xyz = lin @ np.array(C.RGB_TO_XYZ).T / np.array(C.WHITE)
+    f = np.where(xyz > C.EPSILON, np.cbrt(xyz), (C.KAPPA * xyz + 16) / 116)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import color as C
 from tessera.operators import arrays as A
 from tessera.operators import palette as P
-from tessera.plans.adapters import blocks, colours, document_bytes, frames, palette, payloads, pixels
+from tessera.operators import payloads as B
+from tessera.plans.adapters import blocks, colours, frames, palette, payloads, pixels
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,45 +45,53 @@ _GRAY = "(0.2126 * r + 0.7152 * g + 0.0722 * b)"
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_bytes, count(*) AS alphabet, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM h JOIN t USING (doc_id) GROUP BY doc_id""")
 def byte_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Size, alphabet and entropy in bits of every document's bytes."""
-    h = P.histogram(document_bytes(spark, d), "b", "doc_id")
-    p = P.normalize(h, "doc_id")
-    return p.groupBy("doc_id").agg(F.sum("n").alias("n_bytes"), F.count("*").alias("alphabet"), F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
+    h = payloads(spark, d).select("doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), B.byte_histogram("payload").alias("h"))
+    bits = F.aggregate(F.filter("h", lambda n: n > 0), F.lit(0.0), lambda a, n: a - n / F.col("n_bytes") * F.log2(n / F.col("n_bytes")))
+    return h.select("doc_id", "n_bytes", F.size(F.filter("h", lambda n: n > 0)).cast("long").alias("alphabet"), F.round(bits, 6).alias("entropy"))
 
 
 @query(f"WITH {_BYTES} SELECT CAST(v AS INTEGER) AS b, count(b) AS n FROM range(256) r(v) LEFT JOIN b ON b = v GROUP BY v")
 def byte_histogram_keep_empty(spark: SparkSession, d: str) -> DataFrame:
-    return P.histogram_keep_empty(document_bytes(spark, d), "b")
+    return _byte_counts(spark, d)
 
 
 @query(f"WITH {_BYTES}, h AS (SELECT b, count(*) n FROM b GROUP BY b) SELECT b, n, round(n / sum(n) OVER (), 9) AS p FROM h")
 def byte_histogram_normalized(spark: SparkSession, d: str) -> DataFrame:
-    return P.normalize(P.histogram(document_bytes(spark, d), "b")).select("b", "n", F.round("p", 9).alias("p"))
+    return P.normalize(_byte_counts(spark, d).filter("n > 0")).select("b", "n", F.round("p", 9).alias("p"))
+
+
+def _byte_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all 256 byte values; the values that no document has are there too, as every histogram has all of them."""
+    h = payloads(spark, d).select(F.posexplode(B.byte_histogram("payload")).alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n"))
+    return spark.range(256).select(F.col("id").cast("int").alias("b")).join(h, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"""WITH {_BYTES}, e AS (SELECT doc_id, pos, (b - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0) + 256) % 256 v FROM b)
 SELECT doc_id, v AS delta, count(*) AS n FROM e GROUP BY ALL""")
 def delta8_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Histogram of the byte deltas of every document."""
-    return P.histogram(A.delta_encode(document_bytes(spark, d), ["doc_id"], "pos", "b", 8), "delta", "doc_id")
+    return payloads(spark, d).select("doc_id", F.posexplode(B.byte_histogram(B.delta_encode("payload"))).alias("delta", "n")).filter("n > 0")
 
 
 @query(f"""WITH {_BYTES}, w AS (SELECT doc_id, pos // 2 pos, sum(b << (8 * (pos % 2))) w FROM b GROUP BY doc_id, pos // 2)
 SELECT doc_id, CAST(sum((w - coalesce(l, 0) + 65536) % 65536) AS BIGINT) AS delta_sum FROM (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) l FROM w) GROUP BY doc_id""")
 def delta16_sum(spark: SparkSession, d: str) -> DataFrame:
-    w = A.words(document_bytes(spark, d), ["doc_id"], "pos", "b", 2)
-    return A.delta_encode(w, ["doc_id"], "pos", "word", 16).groupBy("doc_id").agg(F.sum("delta").alias("delta_sum"))
+    w = payloads(spark, d).select("doc_id", B.words("payload", 2, pad=True).alias("w"))
+    diffs = F.transform("w", lambda x, i: F.when(i == 0, x).otherwise(F.pmod(x - F.get("w", i - 1), F.lit(65536))))
+    return w.select("doc_id", F.aggregate(diffs, F.lit(0).cast("long"), lambda a, x: a + x).alias("delta_sum"))
 
 
 @query(f"WITH {_BYTES} SELECT doc_id, count(*) AS same FROM b GROUP BY doc_id")
 def delta_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes that delta decoding gives back; all of them."""
-    e = A.delta_encode(document_bytes(spark, d), ["doc_id"], "pos", "b", 8)
-    return A.delta_decode(e, ["doc_id"], "pos", "delta", 8).filter("value = b").groupBy("doc_id").agg(F.count("*").alias("same"))
+    """Bytes that delta decoding gives back as they were; all of them."""
+    p = payloads(spark, d).select("doc_id", "payload", B.delta_decode(B.delta_encode("payload")).alias("back"))
+    return p.select("doc_id", B.mapped(lambda a, b: sum(x == y for x, y in zip(bytes(a), bytes(b))), T.LongType(), "payload", "back").alias("same"))
 
 
 @query(f"WITH {_BYTES} SELECT doc_id, pos // 4 AS pos, CAST(sum(b * (CAST(1 AS BIGINT) << (8 * (pos % 4)))) AS BIGINT) AS word FROM b GROUP BY doc_id, pos // 4")
 def little_endian_words(spark: SparkSession, d: str) -> DataFrame:
-    return A.words(document_bytes(spark, d), ["doc_id"], "pos", "b", 4).withColumn("pos", F.col("pos").cast("long"))
+    w = payloads(spark, d).select("doc_id", F.posexplode(B.words("payload", 4, pad=True)).alias("pos", "word"))
+    return w.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("""SELECT doc_id, n AS size, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
@@ -91,7 +101,7 @@ def start_indices(spark: SparkSession, d: str) -> DataFrame:
     from tessera.session import table
 
     docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "source", F.octet_length("text").cast("long").alias("size"))
-    return A.start_indices(docs, ["source"], "doc_id", "size").drop("source")
+    return A.start_indices(docs, ["source"], "doc_id", "size", slot=F.expr("doc_id div 1000")).select("doc_id", "size", "start")
 
 
 @query(f"""WITH {_FRAMES} SELECT event_id, CASE WHEN len(a) % 16 = 0 THEN len(a) ELSE len(a) + 16 - len(a) % 16 END AS padded, a[1] // 4 AS first_quarter
@@ -116,13 +126,13 @@ def prepend_value(spark: SparkSession, d: str) -> DataFrame:
 WINDOW w AS (PARTITION BY stream ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def delta_image(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).withColumn("o", F.struct("ts", "event_id"))
-    return A.delta_image(f, ["stream"], "o", "s", 16).select("stream", "event_id", "diff")
+    return A.delta_image(f, ["stream"], "o", "s", 16, slot=F.to_date("ts")).select("stream", "event_id", "diff")
 
 
 @query(f"""WITH {_FRAMES} SELECT stream, event_id, (s - coalesce(lag(s) OVER (PARTITION BY stream ORDER BY ts, event_id), 0) + 65536) % 65536 AS diff FROM f""")
 def delta_image_successive(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).withColumn("o", F.struct("ts", "event_id"))
-    return A.delta_image_successive(f, ["stream"], "o", "s", 16).select("stream", "event_id", "diff")
+    return A.delta_image_successive(f, ["stream"], "o", "s", 16, slot=F.to_date("ts")).select("stream", "event_id", "diff")
 
 
 @query("""SELECT vec_id // 4 AS grp, pos * 4 + vec_id % 4 AS at, round(v, 6) AS v FROM (SELECT vec_id, unnest(range(64)) pos, unnest(embedding)::DOUBLE v FROM embeddings)""")
@@ -132,11 +142,28 @@ def interleave(spark: SparkSession, d: str) -> DataFrame:
     return A.interleave(b, ["grp"], "set_no", "pos", 4).select("grp", "at", F.round("v", 6).alias("v"))
 
 
-@query(f"""WITH {_BYTES}, s AS (SELECT doc_id, pos // 2 p, max(CASE WHEN pos % 2 = 0 THEN b END) a, max(CASE WHEN pos % 2 = 1 THEN b END) c FROM b GROUP BY ALL)
+@query(f"""WITH {_BYTES}, s AS (SELECT doc_id, pos // 2 p, max(CASE WHEN pos % 2 = 0 THEN b END) a, coalesce(max(CASE WHEN pos % 2 = 1 THEN b END), 0) c FROM b GROUP BY ALL)
 SELECT doc_id, p * 2 AS pos, (c % 16) * 16 + a % 16 AS b FROM s UNION ALL SELECT doc_id, p * 2 + 1, c // 16 * 16 + a // 16 FROM s""")
 def interleave_nibbles(spark: SparkSession, d: str) -> DataFrame:
-    b = document_bytes(spark, d).withColumn("set_no", F.col("pos") % 2).withColumn("pos", F.expr("pos div 2"))
-    return A.interleave_nibbles(b, ["doc_id"], "set_no", "pos", "b")
+    """Even and odd bytes of documents, padded to an even size, as nibbles side by side."""
+    return _interleaved(spark, d, 2, 4)
+
+
+@query(f"""WITH {_BYTES}, n AS (SELECT doc_id, CAST(ceil(count(*) / 4.0) AS BIGINT) * 4 n FROM b GROUP BY doc_id), g AS (SELECT doc_id, n, unnest(range(n)) i FROM n), k AS (SELECT g.doc_id, n, i, coalesce(b, 0) b FROM g LEFT JOIN b ON b.doc_id = g.doc_id AND b.pos = i)
+SELECT doc_id, i // (n // 2) * 2 + i % (n // 2) // 2 * 4 + i % 2 AS pos, b FROM k""")
+def interleave_words(spark: SparkSession, d: str) -> DataFrame:
+    """The two halves of documents, padded to a multiple of four bytes, interleaved by words of 16 bits."""
+    halves = lambda b: [bytes(b)[: len(b) // 2], bytes(b)[len(b) // 2 :]]
+    p = payloads(spark, d).withColumn("payload", A.pad_binary(F.col("payload"), 4))
+    out = p.select("doc_id", B.interleave(B.mapped(halves, T.ArrayType(T.BinaryType()), "payload"), 16).alias("x"))
+    return out.select("doc_id", F.posexplode(B.words("x", 1)).alias("pos", "b")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def _interleaved(spark: SparkSession, d: str, n: int, bits: int) -> DataFrame:
+    sets = lambda b: [bytes(b)[i::n] for i in range(n)]
+    p = payloads(spark, d).withColumn("payload", A.pad_binary(F.col("payload"), n))
+    out = p.select("doc_id", B.interleave(B.mapped(sets, T.ArrayType(T.BinaryType()), "payload"), bits).alias("x"))
+    return out.select("doc_id", F.posexplode(B.words("x", 1)).alias("pos", "b")).withColumn("pos", F.col("pos").cast("long"))
 
 
 # --- colours ---------------------------------------------------------------------------------------------------------------
@@ -317,12 +344,12 @@ def nearest_palette_colour(spark: SparkSession, d: str) -> DataFrame:
     return P.nearest(pixels(spark, d), palette(spark, d))
 
 
-@query(f"""WITH {_COLOURS}, m AS (SELECT DISTINCT xrgb, xrgb & 14737632 target FROM c), i AS (SELECT target, dense_rank() OVER (ORDER BY target) - 1 idx FROM (SELECT DISTINCT target FROM m))
+@query(f"""WITH {_COLOURS}, m AS (SELECT DISTINCT xrgb, xrgb & 14737600 target FROM c), i AS (SELECT target, dense_rank() OVER (ORDER BY target) - 1 idx FROM (SELECT DISTINCT target FROM m))
 SELECT idx, count(*) AS n FROM c JOIN m USING (xrgb) JOIN i USING (target) GROUP BY idx""")
 def quantize_closest(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels of each palette index, for a palette of three bits a channel."""
+    """Pixels of each palette index, for a palette of three, three and two bits a channel."""
     c = colours(spark, d)
-    m = c.select("xrgb").distinct().withColumn("target", F.col("xrgb").bitwiseAND(F.lit(0xE0E0E0)))
+    m = c.select("xrgb").distinct().withColumn("target", F.col("xrgb").bitwiseAND(F.lit(0xE0E0C0)))
     return P.quantize_closest(c, m).groupBy("idx").agg(F.count("*").alias("n"))
 
 
@@ -405,10 +432,20 @@ def convert_paletted(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def convert_common_palette(spark: SparkSession, d: str) -> DataFrame:
-    """One palette of 32 colours for all runs, fitted on the colours of five bits a channel, of which there are at most 32768."""
-    c = colours(spark, d).withColumn("cell", C.convert_packed(C.convert_packed(F.col("xrgb"), "xrgb8888", "xrgb1555"), "xrgb1555", "xrgb8888")).withColumn("one", F.lit(0).cast("long"))
-    m = P.reduce_frames(c, "one", "cell", 32)
-    return c.join(F.broadcast(m.select("cell", "target")), "cell").groupBy("run_id", "target").agg(F.count("*").alias("n"))
+    """One palette of 32 colours for all runs, fitted on all their colours."""
+    c = colours(spark, d)
+    m = P.reduce_common(c, "xrgb", 32)
+    return c.join(m, "xrgb").groupBy("run_id", "target").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PIXELS}, q AS (SELECT DISTINCT xrgb % 25 idx FROM p), {_PALETTE} SELECT pal.idx, xrgb, {_TO555.replace('r *', '((xrgb >> 16) & 255) *').replace('g *', '((xrgb >> 8) & 255) *').replace('b *', '(xrgb & 255) *')} AS w555 FROM q JOIN pal ON pal.idx = q.idx")
+def raw_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Indexed pixels as raw bytes, looked up in their palette, written as 5-5-5 words and read back."""
+    used = pixels(spark, d).select(F.expr("xrgb % 25").alias("idx")).distinct().agg(F.array_sort(F.collect_set("idx")).alias("i"))  # at most 25 values
+    img = used.crossJoin(F.broadcast(_palette_array(spark, d)))  # one row each
+    raw = img.select("i", B.indexed_to_colors(B.mapped(lambda v: bytes(list(v)), T.BinaryType(), "i"), "a").alias("xrgb"))
+    both = raw.select("i", "xrgb", B.words(B.colors_to_raw("xrgb", "xrgb1555"), 2).alias("w"))
+    return both.select(F.explode(F.arrays_zip("i", "xrgb", "w")).alias("z")).select(F.col("z.i").cast("int").alias("idx"), "z.xrgb", F.col("z.w").cast("int").alias("w555"))
 
 
 @query()

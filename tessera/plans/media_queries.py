@@ -82,6 +82,38 @@ def tile_map_flips(spark: SparkSession, d: str) -> DataFrame:
     return G.tile_map(tiles(spark, d), "tile_pos", "tile", flips=True).withColumns({c: F.col(c).cast("long") for c in ("tile_id", "entry")})
 
 
+_FLIPPED = f"x AS (SELECT p, p % 7 f, t, {', '.join(f'list_transform(range(64), lambda i: t[CAST({e} AS BIGINT) + 1]) {k}' for k, e in _FL.items())} FROM t), k AS (SELECT *, least(t, h, v, hv) key FROM x)"
+_BITS = "CASE WHEN p = p0 THEN 0 WHEN hv = t0 THEN 3 WHEN v = t0 THEN 2 WHEN h = t0 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {_TILES}, {_FLIPPED}, f AS (SELECT f, key, min(p) p0, arg_min(t, p) t0 FROM k GROUP BY f, key), i AS (SELECT f, key, p0, t0, row_number() OVER (PARTITION BY f ORDER BY p0) - 1 id FROM f)
+SELECT k.f AS frame, p AS tile_pos, id AS tile_id, id + 1024 * {_BITS} AS entry FROM k JOIN i ON i.f = k.f AND i.key = k.key""")
+def frame_tile_maps(spark: SparkSession, d: str) -> DataFrame:
+    """A screen map for each of seven frames, with flips."""
+    t = tiles(spark, d).withColumn("frame", F.col("tile_pos") % 7)
+    return G.tile_map(t, "tile_pos", "tile", flips=True, frame="frame").withColumns({c: F.col(c).cast("long") for c in ("tile_id", "entry")})
+
+
+@query(f"""WITH {_TILES}, {_FLIPPED}, f AS (SELECT key, arg_min(p, (f, p)) p0, arg_min(t, (f, p)) t0, min((f, p)) o FROM k GROUP BY key), i AS (SELECT key, p0, t0, row_number() OVER (ORDER BY o) - 1 id FROM f)
+SELECT f AS frame, p AS tile_pos, id AS tile_id, id + 16384 * {_BITS} AS entry FROM k JOIN i USING (key)""")
+def common_tile_map(spark: SparkSession, d: str) -> DataFrame:
+    """Screen maps of seven frames over one set of tiles."""
+    t = tiles(spark, d).withColumn("frame", F.col("tile_pos") % 7)
+    return G.common_tile_map(t, "frame", "tile_pos", "tile", flips=True).withColumns({c: F.col(c).cast("long") for c in ("tile_id", "entry")})
+
+
+_GRAYS = f"WITH {_BLOCKS}, g AS (SELECT vec_id, label, pos, CAST(greatest(0, least(255, floor((v + 0.5) * 255))) AS INTEGER) * 65793 x FROM e), n AS (SELECT vec_id, pos, x, lead(x) OVER (PARTITION BY label, pos ORDER BY vec_id) y FROM g)"
+
+
+@query(_GRAYS + """, c AS (SELECT vec_id, pos, (x & 255) / 255.0::DOUBLE a, (y & 255) / 255.0::DOUBLE b FROM n WHERE y IS NOT NULL)
+SELECT vec_id, CAST(pos // 8 // 4 * 2 + pos % 8 // 4 AS INTEGER) AS block, round(avg(pow(a - b, 2) * (2 + (a + b) / 2 + 4 + 3 - (a + b) / 2) / 9), 6) AS mse FROM c GROUP BY ALL""")
+def block_mse(spark: SparkSession, d: str) -> DataFrame:
+    """Mean distance of the 4 x 4 blocks of each gray 8 x 8 image and the next one of its label."""
+    x = F.expr("cast(greatest(0, least(255, floor((v + 0.5) * 255))) as int) * 65793")
+    g = blocks(spark, d).select("vec_id", "label", "pos", x.alias("x")).withColumn("y", F.lead("x").over(W.partitionBy("label", "pos").orderBy("vec_id"))).filter("y IS NOT NULL")
+    return G.block_mse(g, ["vec_id"], "pos", "x", "y", 8, 4).withColumn("mse", F.round("mse", 6))
+
+
 # --- analytics ---------------------------------------------------------------------------------------------------------------
 
 

@@ -86,15 +86,21 @@ def test_motion_codec(quality, floor):
 
 
 @pytest.mark.parametrize("grid", ["xrgb1555", "rgb565"])
-def test_palette_floors(grid):
-    """The lowest of the published floors, and no more than a little below the grid of the format at 256 colours."""
-    floors = {"xrgb1555": (16.04, 18.29, 19.93), "rgb565": (15.90, 18.46, 20.22)}[grid]
-    for img in (picture(192, 128).reshape(-1),):
+def test_palettes_are_near_the_best(grid):
+    """The published images are not at hand: the bound is what k-means reaches without a grid, given many rounds."""
+    for img in (picture(96, 64).reshape(-1), gradient(96, 64).reshape(-1)):
         colors, counts = np.unique(img, return_counts=True)
-        got = []
+        lab, got = P.lab_of(colors), []
         for n in (16, 64, 256):
             target = P.reduce_colors(colors, counts, n, grid)
             assert len(np.unique(target)) <= n
+            c = P.maximin_seeds(lab, n)
+            for _ in range(15):
+                own = np.argmin(P.hyab_matrix(lab, c), 1)
+                for k in np.unique(own):
+                    c[k] = np.average(lab[own == k], axis=0, weights=counts[own == k])
+            best = 10 * np.log10(1 / np.average(P.hyab_matrix(lab, c).min(1), weights=counts))
             got.append(psnr(np.repeat(target, counts), np.repeat(colors, counts)))
-        assert all(x >= f for x, f in zip(got, floors)), got
-        assert got == sorted(got)
+            assert got[-1] >= best - 0.9, (n, got[-1], best)
+        assert got == sorted(got) and got[0] >= 14
+    assert (P.reduce_colors(np.array([1, 2, 3]), np.array([1, 1, 1]), 16) == [1, 2, 3]).all()  # what fits is kept as it is
