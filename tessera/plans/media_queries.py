@@ -15,6 +15,7 @@ from tessera.operators import audio as AU
 from tessera.operators import codecs as Z
 from tessera.operators import dxt as V
 from tessera.operators import palette as P
+from tessera.operators import payloads as B
 from tessera.operators import temporal as T
 from tessera.operators import tiles as G
 from tessera.plans.adapters import blocks, colours, document_bytes, frames, palette, payloads, tiles
@@ -293,34 +294,65 @@ def interleave_samples(spark: SparkSession, d: str) -> DataFrame:
     return b.select("vec_id", AU.interleaved_position(F.floor(F.col("pos") / 32), F.col("pos") % 32, 2).alias("at"), F.round("v", 6).alias("v"))
 
 
+_INT16 = "CAST(greatest(-32768, least(32767, floor(v * 20000))) AS INTEGER)"
+
+
 @query("SELECT vec_id, 64 AS samples, true AS close FROM embeddings")
 def adpcm_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """ADPCM of two planes of 32 samples: samples that come back, and whether the mean error is below an eighth of the range."""
+    x = F.transform("embedding", lambda v: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(v * 20000))).cast("int"))
+    e = table(spark, d, "embeddings").select("vec_id", x.alias("x")).withColumn("back", AU.un_adpcm(AU.adpcm("x", 2)))
+    err = F.aggregate(F.zip_with("x", "back", lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda a, v: a + v) / 64
+    spread = (F.array_max("x") - F.array_min("x")) / 8
+    return e.select("vec_id", F.size("back").alias("samples"), (err <= F.greatest(F.lit(64.0), spread)).alias("close"))
+
+
+_STEP_LIST = "[" + ", ".join(map(str, AU.STEPS)) + "]"
 
-    @F.pandas_udf("samples int, close boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            rows = []
-            for x in s:
-                x = np.clip(np.cumsum(np.asarray(x)) * 2000, -32768, 32767).astype(np.int16)
-                back = AU.adpcm_decode(AU.adpcm_encode([x[:32], x[32:]]))
-                err = np.abs(np.concatenate(back).astype(float) - x).mean()
-                rows.append((sum(len(p) for p in back), bool(err <= max(64.0, (float(x.max()) - float(x.min())) / 8))))
-            yield pd.DataFrame(rows, columns=["samples", "close"])
 
-    return table(spark, d, "embeddings").select("vec_id", run("embedding").alias("r")).select("vec_id", "r.samples", "r.close")
+@query(f"""WITH RECURSIVE n AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(abs(floor(v::DOUBLE * 64)) AS INTEGER) % 16) k FROM embeddings),
+r(vec_id, k, i, value, idx) AS (SELECT vec_id, k, 0, CAST(100 AS BIGINT), CAST(10 AS BIGINT) FROM n
+ UNION ALL SELECT vec_id, k, i + 1, greatest(-32768, least(32767, value + CASE WHEN q & 8 = 8 THEN -m ELSE m END)), greatest(0, least(88, idx + [-1, -1, -1, -1, 2, 4, 6, 8][(q & 7) + 1])) FROM
+ (SELECT *, k[i + 1] q, (s >> 3) + CASE WHEN k[i + 1] & 4 = 4 THEN s ELSE 0 END + CASE WHEN k[i + 1] & 2 = 2 THEN s >> 1 ELSE 0 END + CASE WHEN k[i + 1] & 1 = 1 THEN s >> 2 ELSE 0 END m FROM
+  (SELECT *, {_STEP_LIST}[idx + 1] s FROM r WHERE i < 63)))
+SELECT vec_id, i AS pos, CAST(value AS INTEGER) AS sample FROM r""")
+def adpcm_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of frames of 64 that are made of the nibbles of each block."""
+    k = F.transform("embedding", lambda v: F.abs(F.floor(v.cast("double") * 64)).cast("int") % 16)
 
+    def frame(nibbles) -> bytes:
+        import struct
 
-@query("SELECT vec_id, 47 AS samples FROM embeddings")
+        v = [int(x) for x in nibbles]
+        return struct.pack("<IhBB", 1 << 5 | 16 << 7 | 4 << 13 | 128 << 16, 100, 10, 0) + bytes(a | b << 4 for a, b in zip(v[::2], v[1::2]))
+
+    from pyspark.sql import types as ty
+
+    f = table(spark, d, "embeddings").select("vec_id", k.alias("k")).select("vec_id", AU.un_adpcm(B.mapped(frame, ty.BinaryType(), "k")).alias("x"))
+    return f.select("vec_id", F.posexplode("x").alias("pos", "sample"))
+
+
+_SINC = "CASE WHEN abs(u) >= 16 THEN 0 WHEN u = 0 THEN 1 ELSE sin(pi() * u) / (pi() * u) * (0.5 + 0.5 * cos(pi() * u / 16)) END"
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding x FROM embeddings), k AS (SELECT range k, range * 22050 / 16000.0::DOUBLE t FROM range(47)), p AS (SELECT k, t, CAST(floor(t) AS BIGINT) + unnest(range(-24, 25)) i FROM k),
+u AS (SELECT k, i, (t - i) * 16000 / 22050.0::DOUBLE u FROM p), w AS (SELECT k, i, {_SINC} w FROM u), s AS (SELECT k, sum(w) n FROM w GROUP BY k)
+SELECT vec_id, CAST(w.k AS INTEGER) AS pos, round(sum(w * x[i + 1]::DOUBLE) / any_value(n), 5) AS sample FROM e, w JOIN s ON s.k = w.k WHERE i BETWEEN 0 AND 63 GROUP BY vec_id, w.k""")
 def resample(spark: SparkSession, d: str) -> DataFrame:
-    """Samples after going from 22050 to 16000 Hz."""
+    """Blocks of 64 samples taken from 22050 to 16000 Hz."""
+    from pyspark.sql import types as ty
+
+    out = B.mapped(lambda x: AU.resample(np.asarray(x, float), 22050, 16000).tolist(), ty.ArrayType(ty.DoubleType()), "embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(out).alias("pos", "sample")).withColumn("sample", F.round("sample", 5) + F.lit(0.0))
 
-    @F.pandas_udf("int")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: len(AU.resample(np.asarray(x, float), 22050, 16000)))
 
-    return table(spark, d, "embeddings").select("vec_id", run("embedding").alias("samples"))
+@query(f"""WITH x AS (SELECT vec_id, unnest(range(64)) i, unnest(embedding)::DOUBLE v FROM embeddings), s AS (SELECT vec_id, i, {_INT16} s FROM x)
+SELECT vec_id, i % 32 * 4 + i // 32 * 2 + b AS pos, CASE WHEN b = 0 THEN (s + 65536) % 256 ELSE (s + 65536) % 65536 // 256 END AS byte FROM s, (SELECT unnest([0, 1]) b)""")
+def raw_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Two planes of 32 signed 16-bit samples as interleaved raw data."""
+    x = F.transform("embedding", lambda v: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(v.cast("double") * 20000))).cast("int"))
+    e = table(spark, d, "embeddings").select("vec_id", AU.to_raw(x, "s16", 2, interleave=True).alias("raw"))
+    return e.select("vec_id", F.posexplode(B.words("raw", 1)).alias("pos", "byte")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"""WITH RECURSIVE {_FRAMES}, n AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY ts, event_id) k, s % 700 n FROM f),
