@@ -79,7 +79,7 @@ def fade_table(palette: DataFrame, amount: float) -> DataFrame:
 
 
 def fade_mix(c0: np.ndarray, c1: np.ndarray, amount: int, fmt: str = "xrgb1555", swap: bool = False) -> np.ndarray:
-    """First colour faded by ``amount`` steps of the format, then averaged with the second on its grid; ``swap`` swaps red and blue of the result, as the reference does."""
+    """First colour faded by ``amount`` steps of the format, then averaged with the second on its grid; ``swap`` swaps red and blue of the result."""
     out = []
     for at, bits in zip((16, 8, 0), (3, 2 if fmt == "rgb565" else 3, 3)):
         a = np.maximum((c0 >> at & 255) - (amount << bits), 0)

@@ -5,6 +5,7 @@ Samples are arrays of planar values: all of the first channel, then all of the s
 
 from __future__ import annotations
 
+import pickle
 import struct
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.payloads import mapped
 
@@ -357,53 +359,113 @@ def _streams(df: DataFrame, key: str, order: list[str], samples: str, schema: st
     return df.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).select(key, samples).mapInPandas(run, f"{key} {kind}, {schema}")
 
 
-def resample_frames(df: DataFrame, key: str, order: list[str], samples: str, rate_in: int, rate_out: int, channels_in: int = 1, channels_out: int = 1, fmt_in: str = "s16", fmt_out: str = "s16") -> DataFrame:
-    """(key, frame_no, samples): planar samples of each stream at another rate, channel count and format; the last frame is what remains at the end. Null frames are left out; frames too short for an output give none."""
+def _streams_live(df: DataFrame, key: str, order: list[str], samples: str, schema: str, start, step, end, idle_ms: int = 0) -> DataFrame:
+    """``_streams`` for streaming frames: Spark keeps each stream's state; with ``idle_ms``, a stream without input for that time is ended."""
+    names = [key] + [c.split()[0] for c in schema.split(",")]
+
+    def update(k, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        state = pickle.loads(kept.get[0]) if kept.exists else start()
+        rows: list[tuple] = []
+        if kept.hasTimedOut:
+            rows = [(k[0], *r) for r in end(state)]
+            kept.remove()
+        else:
+            pdf = pd.concat(list(batches)).sort_values(order)
+            for x in pdf[samples]:
+                if x is not None:
+                    rows += [(k[0], *r) for r in step(state, np.asarray(x))]
+            kept.update((pickle.dumps(state),))
+            if idle_ms:
+                kept.setTimeoutDuration(idle_ms)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, *order, samples).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {schema}", "state binary", "append", timeout)
+
+
+class _Resampled:
+    """State of a stream: a resampler for each channel that goes out, and the number of the next frame."""
+
+    schema = "frame_no int, samples array<double>"
 
-    def start():
-        return [[Resampler(rate_in, rate_out) for _ in range(channels_out)], 0]
+    def __init__(self, rate_in: int, rate_out: int, channels_in: int, channels_out: int, fmt_in: str, fmt_out: str) -> None:
+        self.args = rate_in, rate_out, channels_in, channels_out, fmt_in, fmt_out
 
-    def rows(state, planes) -> list[tuple]:
+    def start(self) -> list:
+        return [[Resampler(*self.args[:2]) for _ in range(self.args[3])], 0]
+
+    def _rows(self, state: list, planes: list[np.ndarray]) -> list[tuple]:
         if not len(planes[0]):
             return []
         state[1] += 1
-        return [(state[1] - 1, from_unit(np.concatenate(planes), fmt_out).astype(float).tolist())]
+        return [(state[1] - 1, from_unit(np.concatenate(planes), self.args[5]).astype(float).tolist())]
 
-    def step(state, x):
-        if len(x) % channels_in:
-            raise ValueError(f"{len(x)} samples don't fill {channels_in} channels")
-        planes = mix_channels(to_unit(x, fmt_in).reshape(channels_in, -1), channels_out)
-        return rows(state, [r.push(p) for r, p in zip(state[0], planes)])
+    def step(self, state: list, x: np.ndarray) -> list[tuple]:
+        _, _, have, want, fmt, _ = self.args
+        if len(x) % have:
+            raise ValueError(f"{len(x)} samples don't fill {have} channels")
+        return self._rows(state, [r.push(p) for r, p in zip(state[0], mix_channels(to_unit(x, fmt).reshape(have, -1), want))])
 
-    return _streams(df, key, order, samples, "frame_no int, samples array<double>", start, step, lambda state: rows(state, [r.flush() for r in state[0]]))
+    def end(self, state: list) -> list[tuple]:
+        return self._rows(state, [r.flush() for r in state[0]])
 
 
-def repackage_frames(df: DataFrame, key: str, order: list[str], samples: str, per_frame: float, modulo: int, channels: int = 1, fmt: str = "s16") -> DataFrame:
-    """(key, window_no, samples, padded): planar samples of each stream in windows of ``per_frame`` samples on average, each a multiple of ``modulo``; silence fills the last one."""
-    from tessera.operators.temporal import Repackager
+def resample_frames(df: DataFrame, key: str, order: list[str], samples: str, rate_in: int, rate_out: int, channels_in: int = 1, channels_out: int = 1, fmt_in: str = "s16", fmt_out: str = "s16") -> DataFrame:
+    """(key, frame_no, samples): planar samples of each stream at another rate, channel count and format; the last frame is what remains at the end. Null frames are left out; frames too short for an output give none."""
+    f = _Resampled(rate_in, rate_out, channels_in, channels_out, fmt_in, fmt_out)
+    return _streams(df, key, order, samples, f.schema, f.start, f.step, f.end)
+
+
+def resample_stream(df: DataFrame, key: str, order: list[str], samples: str, rate_in: int, rate_out: int, channels_in: int = 1, channels_out: int = 1, fmt_in: str = "s16", fmt_out: str = "s16", idle_ms: int = 0) -> DataFrame:
+    """``resample_frames`` for streaming frames."""
+    f = _Resampled(rate_in, rate_out, channels_in, channels_out, fmt_in, fmt_out)
+    return _streams_live(df, key, order, samples, f.schema, f.start, f.step, f.end, idle_ms)
+
+
+class _Repackaged:
+    """State of a stream: what decides the sizes, the samples that wait, and the number of the next window."""
+
+    schema = "window_no int, samples array<double>, padded int"
 
-    def start():
-        return [Repackager(per_frame, modulo), SampleBuffer(channels, fmt), 0]
+    def __init__(self, per_frame: float, modulo: int, channels: int, fmt: str) -> None:
+        self.args = per_frame, modulo, channels, fmt
 
-    def row(state, n: int | None, padded: int) -> list[tuple]:
+    def start(self) -> list:
+        from tessera.operators.temporal import Repackager
+
+        return [Repackager(*self.args[:2]), SampleBuffer(*self.args[2:]), 0]
+
+    def _row(self, state: list, n: int | None, padded: int) -> list[tuple]:
         if n is None:
             return []
         state[2] += 1
         return [(state[2] - 1, state[1].pop(n).astype(float).tolist(), padded)]
 
-    def step(state, x):
+    def step(self, state: list, x: np.ndarray) -> list[tuple]:
         before = len(state[1])
         state[1].push(x)
-        return row(state, state[0].push(len(state[1]) - before), 0)
+        return self._row(state, state[0].push(len(state[1]) - before), 0)
 
-    def end(state):
+    def end(self, state: list) -> list[tuple]:
         left = state[0].buffered
         n = state[0].flush()
         if n is not None:
             state[1].push_silence(n - left)
-        return row(state, n, (n or 0) - left)
+        return self._row(state, n, (n or 0) - left)
+
+
+def repackage_frames(df: DataFrame, key: str, order: list[str], samples: str, per_frame: float, modulo: int, channels: int = 1, fmt: str = "s16") -> DataFrame:
+    """(key, window_no, samples, padded): planar samples of each stream in windows of ``per_frame`` samples on average, each a multiple of ``modulo``; silence fills the last one."""
+    f = _Repackaged(per_frame, modulo, channels, fmt)
+    return _streams(df, key, order, samples, f.schema, f.start, f.step, f.end)
+
 
-    return _streams(df, key, order, samples, "window_no int, samples array<double>, padded int", start, step, end)
+def repackage_stream(df: DataFrame, key: str, order: list[str], samples: str, per_frame: float, modulo: int, channels: int = 1, fmt: str = "s16", idle_ms: int = 0) -> DataFrame:
+    """``repackage_frames`` for streaming frames."""
+    f = _Repackaged(per_frame, modulo, channels, fmt)
+    return _streams_live(df, key, order, samples, f.schema, f.start, f.step, f.end, idle_ms)
 
 
 def wav_header(channels: int, rate: int, bits: int, size: int) -> bytes:

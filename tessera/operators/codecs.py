@@ -117,7 +117,7 @@ def cheapest_parse(lengths: list[int], least: int, literal: float, match: Callab
     """Length of the step at every position (1: a literal) that makes the rest of the stream shortest; found from the end.
 
     Every length is tried. With ``steps``, the longest length of each cost, only these and the longest match are: as long as ``least - 1`` literals cost no more than a match,
-    a later end is never worse at the same cost. Like in the reference, the bytes that long runs of literals add aren't counted.
+    a later end is never worse at the same cost. The bytes that long runs of literals add aren't counted.
     """
     n = len(lengths)
     cost = [0.0] * (n + 1)

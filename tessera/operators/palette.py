@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -222,40 +222,49 @@ def reduce_frames(df: DataFrame, key: str, value: str, n: int, grid: str = "xrgb
     return hist.groupBy(key).applyInPandas(run, f"{key} long, {value} int, target int")
 
 
-def reduce_common(df: DataFrame, value: str, n: int, grid: str = "xrgb1555", rounds: int = 2) -> DataFrame:
-    """(value, target): one palette for the colours of all rows, however many there are.
+def common_palette(hist: DataFrame, value: str, n: int, grid: str = "xrgb1555", rounds: int = 2) -> list[int]:
+    """At most n colours, in ascending order, for all colours of a histogram (value, n), however many there are.
 
     All colours count: they are summed up by cells of five bits a channel, of which there are at most 32768, and the means of the cells, weighted with their pixels, give the centres. Then each distinct colour goes
-    to its nearest centre, and centres move to the weighted means of their colours, in ``rounds`` passes over the distinct colours that only bring sums to the driver.
+    to its nearest centre, and centres move to the weighted means of their colours, in ``rounds`` passes over the distinct colours that only bring sums to the driver. As many colours as fit are kept as they are.
     """
-    spark = df.sparkSession
-    hist = histogram(df.filter(F.col(value).isNotNull()), value)
+    spark = hist.sparkSession
     ch = [F.shiftright(value, s).bitwiseAND(F.lit(255)) for s in (16, 8, 0)]
     cell = F.expr(f"shiftright({value} & 16252928, 9) + shiftright({value} & 63488, 6) + shiftright({value} & 248, 3)")
     cells = hist.groupBy(cell.alias("cell")).agg(F.count("*").alias("k"), F.sum("n").alias("n"), *(F.sum(c * F.col("n")).alias(x) for c, x in zip(ch, "rgb"))).orderBy("cell").toPandas()
     if cells["k"].sum() <= n:
-        return hist.select(value, F.col(value).alias("target"))
+        return sorted(r[0] for r in hist.select(value).collect())
     w = cells["n"].to_numpy(float)
     mean = cells[["r", "g", "b"]].to_numpy(float) / w[:, None]
     centers = online_kmeans(_lab(mean / 255), w, maximin_seeds(_lab(mean / 255), min(n, len(w))))
     snapped: list[int] = []
-    for last in [False] * max(1, rounds) + [True]:
-        shared = spark.sparkContext.broadcast(centers)
+    for _ in range(max(1, rounds)):
+        own = nearest_center(spark, centers)
+        sums = hist.withColumn("_k", own(value)).groupBy("_k").agg(F.sum("n").alias("n"), *(F.sum(c * F.col("n")).alias(x) for c, x in zip(ch, "rgb"))).orderBy("_k").toPandas()  # one row for each centre
+        snapped = [_snap(np.array(rgb, float) / count, grid) for _, count, *rgb in sums.itertuples(index=False)]
+        centers = lab_of(np.array(snapped))
+    return sorted(set(snapped))
 
-        @F.pandas_udf("int")
-        def own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in batches:
-                yield pd.Series(np.argmin(hyab_matrix(lab_of(s.to_numpy(np.int64)), shared.value), 1).astype("int32"))
 
-        if last:
-            break
+def nearest_center(spark: SparkSession, centers: np.ndarray):
+    """Column function: number of the first centre nearest to a packed colour in L*a*b*."""
+    shared = spark.sparkContext.broadcast(centers)  # at most 256 rows
 
-        sums = hist.withColumn("_k", own(value)).groupBy("_k").agg(F.sum("n").alias("n"), *(F.sum(c * F.col("n")).alias(x) for c, x in zip(ch, "rgb"))).toPandas()  # one row for each centre
-        snapped = [0] * len(centers)
-        for k, count, *rgb in sums.itertuples(index=False):
-            snapped[k] = _snap(np.array(rgb, float) / count, grid)
-        centers = lab_of(np.array(snapped))
-    return hist.select(value, F.element_at(F.array(*map(F.lit, snapped)), own(value) + 1).alias("target"))
+    @F.pandas_udf("int")
+    def own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(np.argmin(hyab_matrix(lab_of(s.to_numpy(np.int64)), shared.value), 1).astype("int32"))
+
+    return own
+
+
+def reduce_common(df: DataFrame, value: str, n: int, grid: str = "xrgb1555", rounds: int = 2) -> DataFrame:
+    """(value, target): one palette for the colours of all rows, see ``common_palette``."""
+    hist = histogram(df.filter(F.col(value).isNotNull()), value)
+    pal = common_palette(hist, value, n, grid, rounds)
+    if not pal:
+        return hist.select(value, F.col(value).alias("target"))
+    return hist.select(value, F.element_at(F.array(*map(F.lit, pal)), nearest_center(df.sparkSession, lab_of(np.array(pal)))(value) + 1).alias("target"))
 
 
 def _lab(rgb: np.ndarray) -> np.ndarray:

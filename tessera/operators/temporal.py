@@ -52,9 +52,27 @@ def interleave_streams(df: DataFrame, key: str, kind: str, order: list[str]) ->
 
 
 def drop_repeats(df: DataFrame, keys: list[str], order: list[str], value: str, tolerance: float) -> DataFrame:
-    """Frames that differ from the one before by at least ``tolerance`` squared; the first stays."""
-    before = F.lag(value).over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_b", before).filter(F.col("_b").isNull() | ((F.col(value) - F.col("_b")) * (F.col(value) - F.col("_b")) >= tolerance)).drop("_b")
+    """Frames that differ from the last one that stayed by at least ``tolerance`` squared, so that a slow drift is not lost; the first stays, and so do frames without a value.
+
+    What stays depends on what stayed before: the frames of a key are read in order, batch by batch, within its sorted partition, and the state is one value.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for pdf in batches:
+            keep = []
+            for k, v in zip(zip(*(pdf[c] for c in keys)), pdf[value]):
+                if k != now:
+                    now, last = k, None
+                if v is None or v != v:
+                    keep.append(True)
+                    continue
+                stays = last is None or (v - last) * (v - last) >= tolerance
+                keep.append(stays)
+                last = v if stays else last
+            yield pdf[keep]
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
 
 
 class Repackager:

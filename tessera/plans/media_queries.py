@@ -367,6 +367,70 @@ def repackage(spark: SparkSession, d: str) -> DataFrame:
     return T.repackage(f, "stream", ["ts", "event_id"], "n", 367.5, 16)
 
 
+# --- pipelines -----------------------------------------------------------------------------------------------------------------
+
+
+def _image_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The 8 x 8 images as frames: streams by label, frames in order of vec_id."""
+    from pyspark.sql import types as ty
+
+    raw = B.mapped(lambda x: B.color_bytes(x, "xrgb8888"), ty.BinaryType(), "xrgb")
+    return _images(spark, d).select(F.col("label").alias("stream"), F.col("vec_id").alias("frame_no"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit("xrgb8888").alias("format"), raw.alias("payload"))
+
+
+@query("SELECT vec_id AS frame_no, true AS back, 256 AS bytes FROM embeddings")
+def pipeline_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Frames through tiles, deltas and three coders, and through the inverse pipeline: whether each gives back what went in after the tiles."""
+    from tessera.plans.image_steps import STEPS
+    from tessera.plans.pipeline import Pipeline
+
+    tiled = Pipeline(STEPS).add("tiles").run(_image_frames(spark, d)).drop("max_memory").withColumn("was", F.col("payload"))
+    p = Pipeline(STEPS).add("delta_image").add("delta16").add("lz4").add("rans").add("lzss")
+    back = p.inverse().run(p.run(tiled))
+    return back.select("frame_no", (F.col("payload") == F.col("was")).alias("back"), F.octet_length("payload").alias("bytes"))
+
+
+@query(f"""WITH {_BLOCKS}, g AS (SELECT vec_id, label, pos, CAST(greatest(0, least(255, floor((v + 0.5) * 255))) AS INTEGER) x FROM e), w AS (SELECT vec_id, label, pos, CASE WHEN x * 16843009::BIGINT IS NULL THEN 0 ELSE x END x FROM g),
+m AS (SELECT vec_id, pos, lag(x, 0) OVER q r, coalesce(lag(x, 1) OVER q, x) g, coalesce(lag(x, 2) OVER q, x) b FROM w WINDOW q AS (PARTITION BY label, pos ORDER BY vec_id)),
+k AS (SELECT vec_id, pos, CASE WHEN (0.2126 * r + 0.7152 * g + 0.0722 * b) / 255 >= 0.5 THEN 1 ELSE 0 END i FROM m), s AS (SELECT vec_id, pos // 8 n, CAST(sum(i << (pos % 8)) AS INTEGER) byte FROM k GROUP BY vec_id, pos // 8)
+SELECT vec_id AS frame_no, n AS pos, byte FROM s""")
+def pipeline_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Frames in black and white, one bit a pixel."""
+    from tessera.plans.image_steps import STEPS
+    from tessera.plans.pipeline import Pipeline
+
+    f = Pipeline(STEPS).add("black_white", threshold=0.5).add("prune_indices", bits=1).run(_image_frames(spark, d))
+    return f.select("frame_no", F.posexplode(B.words("payload", 1)).alias("pos", "byte")).select("frame_no", F.col("pos").cast("long").alias("pos"), F.col("byte").cast("int").alias("byte"))
+
+
+@query()
+def pipeline_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Frames, bytes, ratio and memory of a chain of palette, tile and coder steps."""
+    from tessera.plans.image_steps import STEPS
+    from tessera.plans.pipeline import Pipeline, counters
+
+    f = _image_frames(spark, d)
+    p = Pipeline(STEPS).add("paletted", colors=16, grid="xrgb1555").add("reorder_colors").add("tiles").add("delta8").add("lz4")
+    return counters(f, p.run(f))
+
+
+@query(f"""WITH {_FRAMES}, n AS (SELECT stream, count(*) * 100 n FROM f GROUP BY stream) SELECT stream, CAST(ceil(n / 16.0) * 16 AS BIGINT) AS samples, CAST((-n) % 16 + CASE WHEN n % 16 = 0 THEN 0 ELSE 16 END AS BIGINT) AS padded FROM n""")
+def audio_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Audio frames of 100 samples re-windowed to 367.5 on average, as ADPCM and back: samples that come out of each stream, and how many of them were added at its end."""
+    from tessera.plans.audio_steps import STEPS
+    from tessera.plans.pipeline import Pipeline
+
+    f = frames(spark, d)
+    wave = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: (F.col("s") % 2000 + i * 10).cast("double"))
+    no = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
+    f = f.select("stream", no.alias("frame_no"), F.lit(1).alias("channels"), F.lit("s16").alias("sample_format"), wave.alias("samples"))
+    p = Pipeline(STEPS).add("repackage", channels=1, format="s16", per_frame=367.5, modulo=16).add("adpcm").add("lzss")
+    back = p.inverse().run(p.run(f))
+    n = F.sum(F.size("samples")).cast("long")
+    whole = f.groupBy("stream").agg((F.count("*") * 100).alias("n"))
+    return back.groupBy("stream").agg(n.alias("samples")).join(whole, "stream").select("stream", "samples", (F.col("samples") - F.col("n")).alias("padded"))
+
+
 # --- time ----------------------------------------------------------------------------------------------------------------------
 
 _SUBS = "u AS (SELECT DISTINCT sub_id, track_id, start_s, end_s FROM subtitles WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s) AND end_s > start_s AND track_id IS NOT NULL)"
@@ -413,7 +477,10 @@ def interleave_streams(spark: SparkSession, d: str) -> DataFrame:
     return T.interleave_streams(table(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"]).select("event_id", F.col("turn").cast("long").alias("turn"))
 
 
-@query("SELECT event_id FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) b FROM events) WHERE b IS NULL OR (value - b) * (value - b) >= 100")
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM events),
+r(user_id, event_id, k, last, kept) AS (SELECT user_id, event_id, k, value, true FROM n WHERE k = 1
+ UNION ALL SELECT n.user_id, n.event_id, n.k, CASE WHEN (n.value - last) * (n.value - last) >= 100 THEN n.value ELSE last END, (n.value - last) * (n.value - last) >= 100 FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+SELECT event_id FROM r WHERE kept""")
 def drop_repeated_frames(spark: SparkSession, d: str) -> DataFrame:
     return T.drop_repeats(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 100.0).select("event_id")
 

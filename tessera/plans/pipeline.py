@@ -1,8 +1,8 @@
 """Pipelines of frame operators: a validated list of steps that compiles to one DataFrame plan.
 
 A step is a function from DataFrame to DataFrame with a kind: ``convert`` works on single frames, ``state`` on the frames of a stream in order, ``batch`` on all frames at once,
-``reduce`` makes one frame of many, ``output`` writes. Steps are lazy, so that a pipeline is one plan for the optimizer. The steps that a reader must undo are known, and make up the inverse
-pipeline.
+``reduce`` makes one frame of many, ``output`` writes. Steps are lazy, so that a pipeline is one plan for the optimizer; only what a batch step needs to know of all frames is computed while the plan is built. The
+steps that a reader must undo are known, and make up the inverse pipeline. The steps themselves are in ``image_steps`` and ``audio_steps``.
 """
 
 from __future__ import annotations
@@ -14,49 +14,62 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import codecs
-
 KINDS = ("convert", "state", "batch", "reduce", "output")
 
 
 @dataclass(frozen=True)
 class StepType:
-    """A registered kind of step: its function takes the frames and the parameters."""
+    """A registered kind of step: its function takes the frames and the parameters; ``stream`` is its form for streaming frames, if that differs."""
 
     name: str
     kind: str
     fn: Callable[..., DataFrame]
     params: tuple[tuple[str, type], ...] = ()
     undo: str | None = None
+    stream: Callable[..., DataFrame] | None = None
+    undo_params: tuple[str, ...] = ()
+
+
+class Registry(dict[str, StepType]):
+    """Step types by name."""
+
+    def register(self, name: str, kind: str, params: tuple[tuple[str, type], ...] = (), undo: str | None = None, stream=None, undo_params: tuple[str, ...] = ()):
+        if kind not in KINDS:
+            raise ValueError(f"no such kind of step: {kind}")
+        if name in self:
+            raise ValueError(f"step {name} is there already")
 
+        def add(fn):
+            self[name] = StepType(name, kind, fn, params, undo, stream, undo_params)
+            return fn
 
-REGISTRY: dict[str, StepType] = {}
+        return add
 
 
-def register(name: str, kind: str, params: tuple[tuple[str, type], ...] = (), undo: str | None = None):
-    if kind not in KINDS:
-        raise ValueError(f"no such kind of step: {kind}")
+def check_params(t: StepType, params: dict[str, Any]) -> None:
+    """An error unless the parameters have exactly the names and types of the step; numbers are no booleans."""
+    want = dict(t.params)
+    if set(params) != set(want) or any(not isinstance(params[k], want[k]) or isinstance(params[k], bool) != (want[k] is bool) for k in want):
+        raise TypeError(f"{t.name} takes " + (", ".join(f"{k}: {v.__name__}" for k, v in t.params) or "no parameters"))
 
-    def add(fn):
-        REGISTRY[name] = StepType(name, kind, fn, params, undo)
-        return fn
 
-    return add
+def require(condition: bool, message: str, error: type[Exception] = ValueError) -> None:
+    """Precondition of a step."""
+    if not condition:
+        raise error(message)
 
 
 @dataclass
 class Pipeline:
-    """Steps in order. ``add`` checks name and parameter types; ``run`` and ``run_stream`` compile the plan."""
+    """Steps in order. ``add`` checks name and parameter types; ``run`` and ``run_stream`` compile the plan. States live within a run: each run begins with none."""
 
+    registry: Registry
     steps: list[tuple[StepType, dict[str, Any], bool]] = field(default_factory=list)
 
     def add(self, name: str, record_size: bool = True, **params: Any) -> Pipeline:
-        if name not in REGISTRY:
-            raise ValueError(f"no such step: {name}")
-        t = REGISTRY[name]
-        want = dict(t.params)
-        if set(params) != set(want) or any(not isinstance(params[k], want[k]) or isinstance(params[k], bool) != (want[k] is bool) for k in want):
-            raise TypeError(f"{name} takes " + ", ".join(f"{k}: {v.__name__}" for k, v in t.params))
+        require(name in self.registry, f"no such step: {name}")
+        t = self.registry[name]
+        check_params(t, params)
         self.steps.append((t, params, record_size))
         return self
 
@@ -69,105 +82,39 @@ class Pipeline:
     def __str__(self) -> str:
         return " -> ".join(t.name + (f"({', '.join(f'{k}={v!r}' for k, v in p.items())})" if p else "") for t, p, _ in self.steps)
 
+    def _run(self, frames: DataFrame, stream: bool) -> DataFrame:
+        df = frames.withColumn("max_memory", F.lit(0).cast("long")) if "max_memory" not in frames.columns else frames
+        for i, (t, params, counted) in enumerate(self.steps):
+            df = (t.stream if stream and t.stream else t.fn)(df, **params)
+            if i and counted and t.kind not in ("reduce", "output") and {"payload", "max_memory"} <= set(df.columns):
+                df = df.withColumn("max_memory", F.greatest("max_memory", (F.octet_length("payload") + 4).cast("long")))
+        return df
+
     def run(self, frames: DataFrame) -> DataFrame:
         """Frames after all steps, with ``max_memory``: the largest payload plus 4 of any step but the first; reduce and output steps do not count."""
-        sizes: list[str] = []
-        df = frames
-        for i, (t, params, counted) in enumerate(self.steps):
-            df = t.fn(df, **params)
-            if i and counted and t.kind not in ("reduce", "output") and "payload" in df.columns:
-                df = df.withColumn(f"_size{i}", F.octet_length("payload") + 4)
-                sizes.append(f"_size{i}")
-        sizes = [s for s in sizes if s in df.columns]
-        if not sizes:
-            return df.withColumn("max_memory", F.lit(0))
-        top = F.greatest(*sizes) if len(sizes) > 1 else F.col(sizes[0])
-        return df.withColumn("max_memory", top).drop(*sizes)
+        return self._run(frames, False)
 
     def run_stream(self, frames: DataFrame) -> DataFrame:
         """As ``run`` for a streaming DataFrame; steps that need all frames are refused, not skipped."""
         bad = [t.name for t, _, _ in self.steps if t.kind in ("batch", "reduce")]
-        if bad:
-            raise ValueError(f"not possible in a stream: {', '.join(bad)}")
-        return self.run(frames)
+        require(not bad, f"not possible in a stream: {', '.join(bad)}")
+        return self._run(frames, True)
 
     def inverse(self) -> Pipeline:
         """Pipeline that undoes the steps which can be undone, last one first."""
-        out = Pipeline()
-        for t, _, _ in reversed(self.steps):
+        out = Pipeline(self.registry)
+        for t, p, _ in reversed(self.steps):
             if t.undo:
-                out.add(t.undo)
+                out.add(t.undo, **{k: p[k] for k in t.undo_params})
         return out
 
     def decoding_steps(self) -> list[str]:
         return [t.name for t, _, _ in reversed(self.steps) if t.undo]
 
 
-for _c in codecs.CODERS:
-    register(_c, "convert", undo=f"un{_c}")(lambda df, c=_c: df.withColumn("payload", codecs.encode(F.col("payload"), c)))
-    register(f"un{_c}", "convert")(lambda df, c=_c: df.withColumn("payload", codecs.decode(F.col("payload"), c)))
-
-
-@register("pad", "convert", (("multiple", int),))
-def _pad(df: DataFrame, multiple: int) -> DataFrame:
-    from tessera.operators.arrays import pad_binary
-
-    return df.withColumn("payload", pad_binary(F.col("payload"), multiple))
-
-
-def _bytes_udf(fn):
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    @F.pandas_udf(T.BinaryType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda b: None if b is None else fn(bytes(b)))
-
-    return run
-
-
-def _delta(data: bytes) -> bytes:
-    import numpy as np
-
-    x = np.frombuffer(data, np.uint8)
-    return np.diff(x, prepend=np.uint8(0)).astype(np.uint8).tobytes() if len(x) else data
-
-
-def _undelta(data: bytes) -> bytes:
-    import numpy as np
-
-    return np.cumsum(np.frombuffer(data, np.uint8), dtype=np.uint8).tobytes()
-
-
-@register("delta8", "convert", undo="undelta8")
-def _delta8(df: DataFrame) -> DataFrame:
-    return df.withColumn("payload", _bytes_udf(_delta)(F.col("payload")))
-
-
-@register("undelta8", "convert")
-def _undelta8(df: DataFrame) -> DataFrame:
-    return df.withColumn("payload", _bytes_udf(_undelta)(F.col("payload")))
-
-
-@register("combine", "reduce", (("key", str), ("order", str)))
-def _combine(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One payload of all frames of a key, in order; a key's frames must fit in a row together, as in a container file."""
-    g = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "payload"))).alias("f"))
-    return g.select(key, F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["payload"])), "")).alias("payload"))
-
-
-@register("same_size", "batch")
-def _same_size(df: DataFrame) -> DataFrame:
-    """Payloads padded to the largest of all."""
-    top = df.agg(F.max(F.octet_length("payload")).alias("_top"))  # one row
-    j = df.crossJoin(F.broadcast(top))
-    return j.withColumn("payload", F.concat("payload", F.unhex(F.repeat(F.lit("00"), F.col("_top") - F.octet_length("payload"))))).drop("_top")
-
-
-@register("write_parquet", "output", (("path", str),))
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df
+def counters(before: DataFrame, after: DataFrame, sizes: str = "payload") -> DataFrame:
+    """One row: frames and bytes that went in and came out, their ratio in per cent, and the most memory any frame needs."""
+    size = F.coalesce(F.sum(F.octet_length(sizes)), F.lit(0))
+    a = before.agg(F.count("*").alias("frames_in"), size.alias("bytes_in"))
+    b = after.agg(F.count("*").alias("frames_out"), size.alias("bytes_out"), F.max("max_memory").alias("max_memory"))
+    return a.crossJoin(b).withColumn("ratio", F.when(F.col("bytes_in") > 0, F.round(F.col("bytes_out") * 100.0 / F.col("bytes_in"), 4)).otherwise(0.0))  # one row each
