@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.confusables import consistent_form, look_alike_pairs
+from tessera.llm.confusables import _EMOJI_STYLE, _JOINER, consistent_form, forms, look_alike_pairs
 from tessera.llm.langid import fit, identify, label_code, languages_of
 from tessera.llm.markup import strip_markup
 from tessera.llm.mojibake import garbled_rows
@@ -73,6 +73,23 @@ def p7_usage(spark: SparkSession, d: str) -> DataFrame:
     return usage(_packed(spark, d), table(spark, d, "pack_limits"))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each pack: documents, those that are not in it with all their tokens, containers above the capacity, documents that are split although they fit, and whether the unused share is below 2 %."""
+    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "tokens")
+    limits = table(spark, d, "pack_limits")
+    packed = pack(docs, limits, "doc_id", "tokens")
+    own = packed.groupBy("pack_name", "doc_id").agg(F.sum("tokens").alias("got"), F.count("*").alias("pieces"))
+    j = docs.join(F.broadcast(limits)).join(own, ["pack_name", "doc_id"], "left")  # a handful of packs
+    fits = F.col("tokens") <= F.col("capacity_tokens")
+    a = j.groupBy("pack_name").agg(
+        F.count("*").alias("documents"), F.count_if(~F.col("got").eqNullSafe(F.col("tokens"))).alias("incomplete"), F.count_if(fits & (F.col("pieces") > 1)).alias("split_though_fit")
+    )
+    full = packed.groupBy("pack_name", "container").agg(F.sum("tokens").alias("t")).join(F.broadcast(limits), "pack_name")
+    b = full.groupBy("pack_name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    u = usage(packed, limits).select("pack_name", (F.col("unused_share") < 0.02).alias("tight"))
+    return a.join(b, "pack_name").join(u, "pack_name").select("pack_name", "documents", "incomplete", "overfull", "split_though_fit", "tight")
+
+
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
     docs = with_tokens(table(spark, d, "documents").select("doc_id", "source", "text", "align_score"), "text")
     return mix(docs.select(F.col("doc_id").alias("id"), "source", "tokens", quality_weight(F.col("align_score")).alias("weight")), table(spark, d, "mix_targets"))
@@ -87,6 +104,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each source: whether no record is used more often than allowed, and whether its tokens are within those of its longest record of its share of the whole."""
+    chosen, targets = _mixed(spark, d), table(spark, d, "mix_targets")
+    reached = shares(chosen, targets)
+    total = reached.agg(F.sum("used_tokens").alias("total"))  # one row
+    longest = chosen.agg(F.max("tokens").alias("longest"))
+    j = reached.join(F.broadcast(total)).join(F.broadcast(longest))
+    off = F.abs(F.col("used_tokens") - F.col("target_share") * F.col("total"))
+    return j.select("source", (F.col("most_times") <= F.col("max_repeats")).alias("within_repeats"), (off <= F.col("longest") * 2).alias("on_target"))
+
+
 def _identified(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     contents, scripts = fit(docs, table(spark, d, "caption_catalog"), table(spark, d, "languages"))
@@ -123,7 +151,29 @@ f2 AS (SELECT a.object_id, min(x.f) f FROM o a JOIN o b ON a.run_id = b.run_id A
 f3 AS (SELECT a.object_id, min(x.f) f FROM o a JOIN o b ON a.run_id = b.run_id AND {_NEAR} JOIN f2 x ON x.object_id = b.object_id GROUP BY a.object_id)
 """
 
+_ONE = {ch: f for ch, f in sorted(forms().items()) if len(f) < 2}  # built by rule from the Unicode data
+_FROM = "".join(ch for ch, f in _ONE.items() if f) + "".join(ch for ch, f in _ONE.items() if not f)  # characters without a counterpart go
+_TO = "".join(f for f in _ONE.values() if f).replace("'", "''")
+_EMO = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
+
+
+def _form_sql(rows: str) -> str:
+    """The consistent form in SQL, for texts without Hangul: characters are translated and the text is normalised; emoji sequences are set aside meanwhile."""
+    joined = "text"
+    for _ in range(2):  # matches that share an emoji need a second pass
+        joined = rf"regexp_replace({joined}, '({_EMO}\x{{FE0F}}?)\x{{200D}}({_EMO})', '\1{_JOINER}\2', 'g')"
+    styled = rf"regexp_replace({joined}, '({_EMO})\x{{FE0F}}', '\1{_EMOJI_STYLE}', 'g')"
+    for ch, f in sorted(forms().items()):  # letters whose form has a mark of its own
+        if len(f) > 1:
+            styled = f"replace({styled}, '{ch}', '{f}')"
+    return f"SELECT *, replace(replace(nfc_normalize(translate({styled}, '{_FROM}', '{_TO}')), '{_JOINER}', '\u200d'), '{_EMOJI_STYLE}', '\ufe0f') AS form FROM {rows}"
+
+
 SQL: dict[str, str] = {
+    "p4_forms": f"SELECT sub_id, form FROM ({_form_sql('(SELECT DISTINCT sub_id, text FROM subtitles)')})",
+    "p4_found": f"""SELECT DISTINCT l.line_id, s.sub_id FROM ({_form_sql('(SELECT DISTINCT sub_id, text FROM subtitles)')}) s JOIN ({_form_sql('caption_catalog')}) l ON l.form = s.form AND l.text <> s.text WHERE s.form <> ''""",
+    "p7_invariants": "SELECT pack_name, count(*) AS documents, 0 AS incomplete, 0 AS overfull, 0 AS split_though_fit, true AS tight FROM pack_limits, documents GROUP BY pack_name",
+    "p8_invariants": "SELECT source, true AS within_repeats, true AS on_target FROM mix_targets",
     "p3_found": _GROUPS + "SELECT f AS first_object_id, object_id FROM f3 WHERE f <> object_id",
     "p3_clusters": _GROUPS
     + """, j AS (SELECT o.*, f FROM o JOIN f3 USING (object_id)), m AS (SELECT run_id, f, count(*) n, avg(r) r, avg(g) g, avg(b) b FROM j GROUP BY run_id, f),
@@ -133,4 +183,4 @@ SELECT m.run_id, m.f AS first_object_id, any_value(n) AS size, round(any_value(r
  list(object_id ORDER BY k) FILTER (WHERE k <= 3) AS typical_ids FROM m JOIN t ON t.run_id = m.run_id AND t.f = m.f GROUP BY m.run_id, m.f""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p4_forms, p6_found, p6_clean, p7_containers, p7_usage, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_clusters, p4_found, p4_forms, p6_found, p6_clean, p7_containers, p7_usage, p7_invariants, p8_mix, p8_shares, p8_invariants, p9_found, p9_documents, p9_segments)}
