@@ -31,6 +31,13 @@ def dct2(df: DataFrame, keys: list[str], pos: str, value: str, n: int = 8) -> Da
     return cols.select(*keys, F.inline(flat))
 
 
+def counters(df: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
+    """(keys, index, value): sums of values by key and index; indices from 0 to the largest of a key that were never counted are 0.0. Null and negative indices are left out."""
+    sums = df.filter(F.col(index) >= 0).groupBy(*keys, F.col(index).cast("int").alias(index)).agg(F.sum(F.col(value).cast("double")).alias(value))
+    every = sums.groupBy(*keys).agg(F.max(index).alias("_top")).select(*keys, F.explode(F.sequence(F.lit(0), F.col("_top"))).alias(index))
+    return every.join(sums, [*keys, index], "left").select(*keys, index, F.coalesce(value, F.lit(0.0)).alias(value))
+
+
 def convolution0(a: Column, b: Column) -> Column:
     """Convolution at shift zero."""
     return F.sum(a * b)
@@ -66,16 +73,12 @@ def fade_table(palette: DataFrame, amount: float) -> DataFrame:
     Only the last step of a fade table, over the given colours and with a linear mix; ``fade_index_map`` is the whole.
     """
     from tessera.functions import color as C
+    from tessera.operators.palette import nearest
 
-    rows = palette.select("idx", "xrgb").orderBy("idx").limit(257).collect()
-    if len(rows) > 256:
-        raise ValueError("a palette has at most 256 colours")
-    p = F.broadcast(palette)  # bounded above
+    p = F.broadcast(palette.select("idx", "xrgb"))  # ``nearest`` refuses more than 256 entries
     a, b = p.select(F.col("idx").alias("i"), F.col("xrgb").alias("x")), p.select(F.col("idx").alias("j"), F.col("xrgb").alias("y"))
-    mixed = a.crossJoin(b).withColumn("mix", C.pack(tuple(fade(c, e, amount) for c, e in zip(C.channels(F.col("x")), C.channels(F.col("y"))))))
-    own = C.to_rgbf(F.col("mix"))
-    best = F.least(*(F.struct(F.round(C.mse_rgb(own, C.to_rgbf(F.lit(r["xrgb"]))), 9).alias("d"), F.lit(r["idx"]).alias("idx")) for r in rows))
-    return mixed.select("i", "j", best["idx"].alias("idx"))
+    mixed = a.crossJoin(b).select("i", "j", C.pack(tuple(fade(c, e, amount) for c, e in zip(C.channels(F.col("x")), C.channels(F.col("y"))))).alias("mix"))
+    return mixed.join(nearest(mixed, palette, "mix"), "mix").select("i", "j", "idx")
 
 
 def fade_mix(c0: np.ndarray, c1: np.ndarray, amount: int, fmt: str = "xrgb1555", swap: bool = False) -> np.ndarray:

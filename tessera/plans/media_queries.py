@@ -146,13 +146,21 @@ def statistics_counters(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("id", "stat").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
+@query("""WITH x AS (SELECT event_type, CAST(user_id % 37 AS INTEGER) i, sum(floor(value)) v FROM events GROUP BY ALL), m AS (SELECT event_type, max(i) t FROM x GROUP BY event_type),
+g AS (SELECT event_type, CAST(unnest(range(t + 1)) AS INTEGER) i FROM m) SELECT g.event_type AS stat, g.i AS idx, coalesce(v, 0.0)::DOUBLE AS total FROM g LEFT JOIN x ON x.event_type = g.event_type AND x.i = g.i""")
+def indexed_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters by name and index, those never counted included."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("stat"), (F.col("user_id") % 37).alias("idx"), F.floor("value").alias("total"))
+    return M.counters(e, ["stat"], "idx", "total")
+
+
 @query("""SELECT source, count(*) AS frames, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, round(sum(octet_length(encode(text))) / 1024.0 / count(*), 4) AS kb_per_frame, max(octet_length(encode(text))) + 4 AS max_memory,
- round(100.0 * sum(length(text)) / sum(octet_length(encode(text))), 4) AS ratio FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source""")
+ round(100.0 * sum(length(text)) / sum(octet_length(encode(text))), 4) AS chars_per_100_bytes FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source""")
 def size_report(spark: SparkSession, d: str) -> DataFrame:
-    """Frames, sizes, memory needed and size ratio of each source."""
+    """Frames, sizes, memory needed and characters in a hundred bytes of each source."""
     t = table(spark, d, "documents").filter("text IS NOT NULL AND source IS NOT NULL").select("source", F.octet_length("text").cast("long").alias("b"), F.length("text").alias("c"))
     return t.groupBy("source").agg(
-        F.count("*").alias("frames"), F.sum("b").alias("bytes"), F.round(F.sum("b") / 1024.0 / F.count("*"), 4).alias("kb_per_frame"), (F.max("b") + 4).alias("max_memory"), F.round(F.sum("c") * 100.0 / F.sum("b"), 4).alias("ratio")
+        F.count("*").alias("frames"), F.sum("b").alias("bytes"), F.round(F.sum("b") / 1024.0 / F.count("*"), 4).alias("kb_per_frame"), (F.max("b") + 4).alias("max_memory"), F.round(F.sum("c") * 100.0 / F.sum("b"), 4).alias("chars_per_100_bytes")
     )
 
 

@@ -68,6 +68,13 @@ def png_bytes(xrgb: np.ndarray, width: int, height: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+def color_map_png(fmt: str) -> bytes:
+    """PNG file of all colours of 5-5-5 (256 x 128) or 5-6-5 (256 x 256), in order of their words."""
+    word = np.arange(1 << (16 if fmt == "rgb565" else 15))
+    r, g, b = (word >> 11 & 31, word >> 5 & 63, word & 31) if fmt == "rgb565" else (word >> 10 & 31, word >> 5 & 31, word & 31)
+    return png_bytes(255 * r // 31 << 16 | 255 * g // (63 if fmt == "rgb565" else 31) << 8 | 255 * b // 31, 256, len(word) // 256)
+
+
 def write_file(path: str, data: bytes) -> None:
     """Write a file on any file system that the path names: it is written beside its place and then moved there, so that no reader sees a part of it."""
     import uuid

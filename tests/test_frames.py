@@ -82,6 +82,20 @@ def test_tile_maps(spark, flips, common):
     assert {(x["frame"], x["pos"]): x["entry"] for x in got.collect()} == _maps(frames, flips, 14 if common else 10, common)
 
 
+def test_positions(spark):
+    """Sprites and tiles by arithmetic are those of reshaped arrays."""
+    w, h, sw = 32, 16, 16
+    img = np.arange(w * h).reshape(h, w)
+    strip = img.reshape(h, w // sw, sw).swapaxes(0, 1).reshape(-1, sw)
+    tiles = lambda a: a.reshape(a.shape[0] // 8, 8, a.shape[1] // 8, 8).swapaxes(1, 2).reshape(-1)
+    p = F.col("id")
+    rows = spark.range(w * h).select("id", G.sprite_position(p, w, h, sw).alias("s"), G.tile_position(p, w).alias("t"), G.sprites_in_tiles(p, w, h, sw).alias("st"), G.block_of(p, w, 8).alias("b")).collect()
+    for col, want in (("s", strip.reshape(-1)), ("t", tiles(img)), ("st", tiles(strip))):
+        place = {int(v): i for i, v in enumerate(want)}
+        assert all(r[col] == place[r["id"]] for r in rows)
+    assert all(r["b"] == r["id"] // w // 8 * 4 + r["id"] % w // 8 for r in rows)
+
+
 def test_too_many_tiles(spark):
     df = spark.range(40).select(F.col("id").alias("pos"), F.array_repeat("id", 64).alias("tile"), F.lit(1).alias("frame"))
     for frame in (None, "frame"):

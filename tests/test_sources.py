@@ -58,6 +58,14 @@ def test_png_and_files(spark, tmp_path):
     assert {p.name: p.read_bytes() for p in (tmp_path / "b").iterdir()} == {"x": b"pix", "x_map": b"\1\0\2\0\3\0", "x_pal": b"\5\6", "y": b"q"}
 
 
+def test_colour_maps(spark, tmp_path):
+    for fmt, h in (("xrgb1555", 128), ("rgb565", 256)):
+        S.write_file(str(tmp_path / fmt / "m.png"), S.color_map_png(fmt))
+        r = S.read_images(spark, str(tmp_path / fmt)).first()
+        px = np.frombuffer(bytes(r["payload"]), "<u4")
+        assert (r["width"], r["height"]) == (256, h) and px[0] == 0 and px[-1] == 0xFFFFFF and len(np.unique(px)) == len(px)
+
+
 def test_wav():
     w = S.wav_bytes([1, 2, 3, 4], 2, 8000)
     assert w[:4] == b"RIFF" and w[8:16] == b"WAVEfmt " and struct.unpack("<HHIIHH", w[20:36]) == (1, 2, 8000, 32000, 4, 16) and w[44:] == b"\1\0\3\0\2\0\4\0"
