@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.confusables import _EMOJI_STYLE, _JOINER, consistent_form, forms, look_alike_pairs
@@ -10,7 +11,7 @@ from tessera.llm.langid import fit, identify, label_code, languages_of
 from tessera.llm.markup import strip_markup
 from tessera.llm.mojibake import garbled_rows
 from tessera.llm.mixing import mix, quality_weight, shares
-from tessera.llm.packing import pack, usage
+from tessera.llm.packing import MAX_PACKS, pack, usage
 from tessera.llm.similarity_clusters import cluster_pairs, describe_clusters
 from tessera.llm.tokens import with_tokens
 from tessera.session import table
@@ -79,7 +80,8 @@ def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
     limits = table(spark, d, "pack_limits")
     packed = pack(docs, limits, "doc_id", "tokens")
     own = packed.groupBy("pack_name", "doc_id").agg(F.sum("tokens").alias("got"), F.count("*").alias("pieces"))
-    j = docs.join(F.broadcast(limits)).join(own, ["pack_name", "doc_id"], "left")  # a handful of packs
+    every = F.array(*(F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["capacity_tokens"]).alias("capacity_tokens")) for r in limits.filter("capacity_tokens >= 1").limit(MAX_PACKS).collect()))
+    j = docs.select("doc_id", "tokens", F.explode(every).alias("p")).select("doc_id", "tokens", "p.*").join(own, ["pack_name", "doc_id"], "left")
     fits = F.col("tokens") <= F.col("capacity_tokens")
     a = j.groupBy("pack_name").agg(
         F.count("*").alias("documents"), F.count_if(~F.col("got").eqNullSafe(F.col("tokens"))).alias("incomplete"), F.count_if(fits & (F.col("pieces") > 1)).alias("split_though_fit")
@@ -108,11 +110,11 @@ def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
     """For each source: whether no record is used more often than allowed, and whether its tokens are within those of its longest record of its share of the whole."""
     chosen, targets = _mixed(spark, d), table(spark, d, "mix_targets")
     reached = shares(chosen, targets)
-    total = reached.agg(F.sum("used_tokens").alias("total"))  # one row
-    longest = chosen.agg(F.max("tokens").alias("longest"))
-    j = reached.join(F.broadcast(total)).join(F.broadcast(longest))
-    off = F.abs(F.col("used_tokens") - F.col("target_share") * F.col("total"))
-    return j.select("source", (F.col("most_times") <= F.col("max_repeats")).alias("within_repeats"), (off <= F.col("longest") * 2).alias("on_target"))
+    longest = chosen.groupBy("source").agg(F.max("tokens").alias("longest"))
+    all_targets = W.partitionBy(F.lit(1))  # as many rows as there are targets
+    off = F.abs(F.col("used_tokens") - F.col("target_share") * F.sum("used_tokens").over(all_targets))
+    j = reached.join(longest, "source", "left").withColumn("on_target", off <= F.max("longest").over(all_targets) * 2)
+    return j.select("source", (F.col("most_times") <= F.col("max_repeats")).alias("within_repeats"), "on_target")
 
 
 def _identified(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
