@@ -27,6 +27,11 @@ def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).filter("reason IS NOT NULL").select("raw_id", "reason", "edits")
 
 
+def p1_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Rejected records, and whether edits would mend them: broken quoting and wrong numbers of fields need some, invalid values have none."""
+    return _records(spark, d).filter("reason IS NOT NULL").select("raw_id", "reason", (F.col("edits") != "").alias("edited"))
+
+
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     # re-delivered rows repeat their times, which changes no period: they need no removal
     return table(spark, d, "subtitles").select("track_id", "start_s", "end_s")
@@ -64,10 +69,11 @@ SQL = {
     "p1_found": _CSV + "SELECT raw_id, reason FROM c WHERE reason IS NOT NULL",
     "p1_frames": _CSV
     + f"SELECT raw_id, CAST(a[1] AS BIGINT) sub_idx, {_SECONDS.format('a[2]')} start_s, {_SECONDS.format('a[3]')} end_s, a[4] AS text FROM c WHERE reason IS NULL",
+    "p1_edited": _CSV + "SELECT raw_id, reason, reason IN ('quoting', 'columns') AS edited FROM c WHERE reason IS NOT NULL",
     "p5_found": _ISLANDS + "SELECT track_id, b AS gap_start_ms, s AS gap_end_ms FROM m WHERE b < s",
     "p5_periods": _ISLANDS
     + """, n AS (SELECT track_id, s, e, sum(CASE WHEN b IS NULL OR b < s THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM m)
 SELECT track_id, min(s) AS start_ms, max(e) AS end_ms FROM n GROUP BY track_id, g""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frames, p1_rejects, p5_found, p5_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frames, p1_rejects, p1_edited, p5_found, p5_periods)}
