@@ -203,21 +203,22 @@ def tiles(f: Frame) -> Frame:
 
 
 def unique_tile_map(px: np.ndarray, flips: bool, index_bits: int = 10) -> tuple[list[int], np.ndarray]:
-    """(screen map, unique tiles) of tiles of shape (tiles, 8, 8, bytes), numbered by first occurrence; see ``tiles.tile_map`` for the flip bits."""
-    ways = [px, px[:, :, ::-1], px[:, ::-1], px[:, ::-1, ::-1]] if flips else [px]
-    names = [[w[i].tobytes() for i in range(len(px))] for w in ways]
-    seen: dict[bytes, int] = {}
-    screen, firsts = [], []
-    for i in range(len(px)):
-        entry = seen.get(names[0][i])
-        if entry is None:
-            entry = len(firsts)
-            require(entry < 1 << index_bits, "too many unique tiles")
-            firsts.append(i)
-            for bits, name in enumerate(names):
-                seen[name[i]] = entry | bits << index_bits
-        screen.append(entry)
-    return screen, px[firsts]
+    """(screen map, unique tiles) of tiles of shape (tiles, 8, 8, bytes), numbered by first occurrence; see ``tiles.tile_map`` for the flip bits.
+
+    Tiles are one if the least of their flipped forms is the same; the bits of a repeat follow from a comparison with the first one.
+    """
+    forms = [[t.tobytes() for t in way] for way in ([px, px[:, :, ::-1], px[:, ::-1], px[:, ::-1, ::-1]] if flips else [px])]
+    keys = np.array([min(f) for f in zip(*forms)], dtype=object)
+    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+    require(len(first) <= 1 << index_bits, "too many unique tiles")
+    number = np.empty(len(first), int)
+    number[np.argsort(first)] = np.arange(len(first))
+    screen = []
+    for i, g in enumerate(group.tolist()):
+        start = first[g]
+        bits = 0 if i == start else max(k for k, f in enumerate(forms) if f[i] == forms[0][start])
+        screen.append(int(number[g]) | bits << index_bits)
+    return screen, px[np.sort(first)]
 
 
 @_convert("tile_map", (("flips", bool),))
