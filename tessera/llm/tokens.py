@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Vocabulary file (ranks of byte-level BPE), read on the driver and broadcast: less than 1 MB.
+#: Vocabulary file of a public tokenizer (ranks of byte-level BPE, one token and its rank a line), read on the driver and broadcast: less than 1 MB.
 VOCABULARY = os.environ.get("TESSERA_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: the published splitting pattern that belongs to these vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -26,6 +26,8 @@ def encoding(raw: bytes, pattern: str = PATTERN):
 
 def with_tokens(df: DataFrame, text: str, out: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """Add the number of tokens of the whole text; a null or empty text has none. An existing column ``out`` is replaced."""
+    if not os.path.isfile(vocabulary):
+        raise FileNotFoundError(f"no vocabulary file {vocabulary}: give its path as ``vocabulary``, or in TESSERA_VOCABULARY")
     with open(vocabulary, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
