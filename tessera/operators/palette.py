@@ -174,7 +174,7 @@ def online_kmeans(lab: np.ndarray, weight: np.ndarray, centers: np.ndarray, pass
                 continue
             k = int(np.argmin(hyab_matrix(lab[x : x + 1], c)[0]))
             seen[k] += weight[x]
-            c[k] += (lab[x] - c[k]) * (weight[x] / seen[k]) ** 0.5 * 0.5
+            c[k] += (lab[x] - c[k]) * (weight[x] / seen[k]) ** 0.5
     return c
 
 

@@ -259,6 +259,23 @@ def dxt_encode(spark: SparkSession, d: str) -> DataFrame:
     return _images(spark, d).select("vec_id", run("xrgb").alias("r")).select("vec_id", "r.bytes", "r.close")
 
 
+_GRID = "(((((({0} >> 16) & 255) * 249 + 1014) >> 11) * 527 + 23) >> 6) * 65536 + (((((({0} >> 8) & 255) * 249 + 1014) >> 11) * 527 + 23) >> 6) * 256 + (((((({0} & 255) * 249 + 1014) >> 11) * 527 + 23) >> 6))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, unnest(range(64)) i, p_size, p_partkey * 7919 % 16777216 a, (p_partkey * 104729 + 77) % 16777216 b FROM part), c AS (SELECT p_partkey, i, CASE WHEN i * p_size % 3 = 0 THEN a ELSE b END x FROM p)
+SELECT p_partkey, CAST(i AS INTEGER) AS pos, CAST({_GRID.format('x')} AS INTEGER) AS xrgb FROM c""")
+def dxt_two_colours(spark: SparkSession, d: str) -> DataFrame:
+    """8 x 8 images of two colours, coded and decoded: each pixel comes back as its colour on the grid of the format."""
+    from pyspark.sql import types as ty
+
+    def through(a, b, size) -> list[int]:
+        img = np.where(np.arange(64) * int(size) % 3 == 0, int(a), int(b))
+        return V.decode_image(V.encode_image(img, 8, 8), 8, 8).tolist()
+
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.expr("p_partkey * 7919 % 16777216").alias("a"), F.expr("(p_partkey * 104729 + 77) % 16777216").alias("b"))
+    return p.select("p_partkey", F.posexplode(B.mapped(through, ty.ArrayType(ty.IntegerType()), "a", "b", "p_size")).alias("pos", "xrgb"))
+
+
 @query("SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS frame_no, true AS equal FROM embeddings")
 def dxtv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Motion-coded streams of 8 x 8 images: whether decoding gives what the coder saw."""
