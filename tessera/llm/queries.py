@@ -75,7 +75,7 @@ def p7_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """For each pack: documents, those that are not in it with all their tokens, containers above the capacity, documents that are split although they fit, and whether the unused share is below 2 %."""
+    """For each pack: documents, those that are not in it with all their tokens, containers above the capacity, documents that are split although they fit, and whether there are at most 2 % (or one) more containers than the tokens need."""
     docs = with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "tokens")
     limits = table(spark, d, "pack_limits")
     packed = pack(docs, limits, "doc_id", "tokens")
@@ -88,7 +88,8 @@ def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
     )
     full = packed.groupBy("pack_name", "container").agg(F.sum("tokens").alias("t")).join(F.broadcast(limits), "pack_name")
     b = full.groupBy("pack_name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
-    u = usage(packed, limits).select("pack_name", (F.col("unused_share") < 0.02).alias("tight"))
+    least = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
+    u = usage(packed, limits).select("pack_name", (F.col("containers") <= least + F.greatest(F.lit(1), F.floor(least * 0.02))).alias("tight"))
     return a.join(b, "pack_name").join(u, "pack_name").select("pack_name", "documents", "incomplete", "overfull", "split_though_fit", "tight")
 
 
