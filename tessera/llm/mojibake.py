@@ -6,7 +6,7 @@ done for the whole text, for each of its lines, and for the runs of characters b
 garbling cost drops. A reading is accepted when it drops the cost by at least DROP bits below that of the text as it stands, and below that of the text's
 consistent form, so that look-alike letters and wide forms are no garbling.
 
-The cost is that of a model of letter pairs and words per language, fitted on bounded samples of catalog lines and captions; no list of letters or words is given beforehand. Characters
+The cost is that of a model of letter pairs and words per language, fitted on all catalog lines and captions, whose letters and words are counted where they lie; no list of letters or words is given beforehand. Characters
 that no text is written with (replacement characters, controls, unassigned code points) have the highest cost; where they remain after the round trips, the bytes are lost: the row is
 garbled and not recovered.
 """
@@ -20,9 +20,11 @@ import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,10 +37,8 @@ MISREAD_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_ro
 MISREAD_WIDE = ("cp932", "gbk", "euc_kr", "big5")
 WRITTEN_IN = ("cp1252", "cp1251", "koi8_r", "koi8_u", "cp1250", "iso8859_2", "cp866", "iso8859_5", "cp437", "cp850", "mac_roman")
 WRITTEN_WIDE = ("euc_jp", "cp932")
-#: At most this many catalog lines of each language fit the model of letter pairs, chosen by a hash of the line.
-LINES_PER_LANGUAGE = 2000
-#: About this many captions, chosen by a hash of their number, fit it too, with the language their track is labelled with.
-SAMPLE_ROWS = 20_000
+#: A task that counts words sends off its counts when it holds this many of them.
+COUNTED_AT_ONCE = 200_000
 #: A catalog may name at most this many languages; more are an error.
 MAX_LANGUAGES = 500
 #: A reading is accepted when it costs at least this many bits less: one as UTF-8, which strict decoding proves, and one under another encoding.
@@ -47,7 +47,10 @@ DROP, DROP_UNPROVEN = 3.0, 8.0
 STRAY = 1e-4
 #: Weight of what is known of the second character alone in the probability of a pair.
 _BACK_OFF = 0.1
-#: A word is known in a language if its lines have it this often.
+#: All lines are counted; counts of a language with more letter pairs are given as shares, for so many. Garbled words grow with the data, so that those
+#: which come a fixed number of times would pass for known ones in large tables.
+SHARES_OF = 250_000
+#: A word is known in a language if its lines have it this often, and as often among ``SHARES_OF`` letter pairs.
 KNOWN_TIMES = 5
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^ ]+")
@@ -183,22 +186,44 @@ class Encodings:
 Counts = dict[str, tuple[Counter, Counter, Counter, Counter]]
 
 
-def count_letters(lines: list[tuple[str, str]]) -> Counts:
-    """Letter pairs, first and single characters and words of each language. Words that mix scripts count in their consistent form."""
+def letters_of(words: Counter) -> tuple[Counter, Counter]:
+    """Letter pairs and words, in small letters and without the signs around them, of words as they stand. Words that mix scripts count in their consistent form."""
     form = {ord(k): v for k, v in forms().items()}
-    out: Counts = {}
-    for lang, text in lines:
-        pairs, firsts, singles, words = out.setdefault(lang, (Counter(), Counter(), Counter(), Counter()))
-        for w in text.lower().split():
-            if not w.isascii() and len({Model.script(c) for c in w if c.isalpha()}) > 1:
-                w = w.translate(form)
-            s = f" {w} "
-            pairs.update(zip(s, s[1:]))
-            firsts.update(s[:-1])
-            singles.update(s[1:])
-            words[core(w)] += 1
+    pairs: Counter = Counter()
+    cores: Counter = Counter()
+    as_often: defaultdict[int, list[str]] = defaultdict(list)
+    for w, n in words.items():
+        w = w.lower()
+        if not w.isascii() and len({Model.script(c) for c in w if c.isalpha()}) > 1:
+            w = w.translate(form)
+        as_often[n].append(w)
+        cores[core(w)] += n
+    for n, ws in as_often.items():
+        s = f" {' '.join(ws)} "
+        for ab, times in Counter(zip(s, s[1:])).items():
+            pairs[ab] += n * times
+    return pairs, cores
+
+
+def counts_of(pairs: Counter, cores: Counter) -> tuple[Counter, Counter, Counter, Counter]:
+    """Counts of a language: letter pairs, first and second characters of them, known words."""
+    firsts: Counter = Counter()
+    singles: Counter = Counter()
+    for (a, b), n in pairs.items():
+        firsts[a] += n
+        singles[b] += n
+    share = min(1.0, SHARES_OF / max(1, sum(pairs.values())))
+    pairs, firsts, singles, cores = (Counter({x: n * share for x, n in sorted(c.items())}) for c in (pairs, firsts, singles, cores))
     # words that come once or twice may be slips
-    return {lang: (*c[:3], Counter({w: n for w, n in c[3].items() if n >= KNOWN_TIMES and w})) for lang, c in out.items()}
+    return pairs, firsts, singles, Counter({w: n for w, n in cores.items() if n >= KNOWN_TIMES and w})
+
+
+def count_letters(lines: list[tuple[str, str]]) -> Counts:
+    """Letter pairs, first and single characters and words of each language."""
+    words: defaultdict[str, Counter] = defaultdict(Counter)
+    for lang, text in lines:
+        words[lang].update(text.split())
+    return {lang: counts_of(*letters_of(c)) for lang, c in words.items()}
 
 
 def core(w: str) -> str:
@@ -567,43 +592,111 @@ def worker_repairer(name: str, shared) -> Repairer:
     return _WORKER[name]
 
 
-def fit(lines: list[tuple[str, str]], sample: list[tuple[str, str]] = ()) -> Counts:
-    """Counts of the catalog lines and of those sampled lines that show no sign of garbling: no character that is never written and no reading as UTF-8."""
-    enc = Encodings(frozenset())
-    good = [(lang, line) for lang, text in sample for line in text.split("\n") if line.isascii() or not (any(map(never_written, line)) or any(enc.run(m[0]) for m in _RUN.finditer(line)))]
-    return count_letters(list(lines) + good)
+_SCREEN: list[Encodings] = []
+
+
+@lru_cache(200_000)
+def _odd_run(run: str) -> bool:
+    """Whether a run has a character that is never written or a reading as UTF-8."""
+    if not _SCREEN:
+        _SCREEN.append(Encodings(frozenset()))
+    return any(map(never_written, run)) or bool(_SCREEN[0].run(run))
+
+
+def sound(line: str) -> bool:
+    """Whether a line shows no sign of garbling: no character that is never written and no reading as UTF-8."""
+    return line.isascii() or "\x7f" not in line and not any(map(_odd_run, _RUN.findall(line)))
+
+
+def fit(lines: list[tuple[str, str]], captions: list[tuple[str, str]] = ()) -> Counts:
+    """Counts of the catalog lines and of those lines of captions that show no sign of garbling."""
+    return count_letters(list(lines) + [(lang, line) for lang, text in captions for line in text.split("\n") if sound(line)])
 
 
 _RESULT = T.StructType([T.StructField("repaired", T.StringType()), T.StructField("garbled", T.BooleanType()), T.StructField("recovered", T.BooleanType())])
 
 
-def _bounded(rows: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    return sorted((r[0], r[1]) for r in rows.withColumn("n", rank).filter(F.col("n") <= per_language).select("lang", "text").collect())
+def _labelled(catalog: DataFrame) -> DataFrame:
+    return catalog.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").distinct()
 
 
-def model_lines(catalog: DataFrame, per_language: int = LINES_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled lines of every language, chosen by a hash of the line, to fit the model of letter pairs."""
-    rows = catalog.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").distinct()
-    if rows.agg(F.countDistinct("lang")).first()[0] > MAX_LANGUAGES:
+def _languages(catalog: DataFrame) -> list[str]:
+    """Languages that the catalog names."""
+    langs = [r[0] for r in catalog.select("lang").filter("lang IS NOT NULL").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"the catalog names more than {MAX_LANGUAGES} languages")
-    return _bounded(rows, per_language)
+    return sorted(langs)
+
+
+def model_lines(catalog: DataFrame, per_language: int | None = None) -> list[tuple[str, str]]:
+    """Labelled lines of every language; with ``per_language``, at most so many of each, chosen by a hash of the line."""
+    rows = _labelled(catalog)
+    _languages(rows)
+    if per_language is not None:
+        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+        rows = rows.withColumn("n", rank).filter(F.col("n") <= per_language).select("lang", "text")
+    return sorted((r[0], r[1]) for r in rows.collect())
 
 
-def sample_lines(subtitles: DataFrame, tracks: DataFrame, langs: list[str], size: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """About ``size`` captions, chosen by a hash of their number, with the language that their track is labelled with."""
-    total = subtitles.count()
-    share = 1.0 if total <= size else size / total
-    some = subtitles.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("sub_id"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("track_id", "text")
+def caption_lines(subtitles: DataFrame, tracks: DataFrame, langs: list[str]) -> DataFrame:
+    """(lang, text) of all captions whose track is labelled with one of the languages, as often as they come."""
     label = F.substring(F.lower(F.trim("lang")), 1, 2).alias("lang")
     named = tracks.select("track_id", label).filter(F.col("lang").isin(langs))
-    return _bounded(some.join(named, "track_id").select("lang", "text").distinct(), max(1, 2 * size // max(1, len(langs))))
+    return subtitles.filter("text IS NOT NULL").select("track_id", "text").join(named, "track_id").select("lang", "text")
+
+
+def _partial(words: dict[str, Counter]) -> pa.RecordBatch:
+    """Letter pairs and words of each language with their counts."""
+    rows: list[tuple[str, bool, str, int]] = []
+    for lang, c in words.items():
+        pairs, cores = letters_of(c)
+        rows += [(lang, True, a + b, n) for (a, b), n in pairs.items()]
+        rows += [(lang, False, w, n) for w, n in cores.items() if w]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _PARTIAL.types)], schema=_PARTIAL)
+
+
+_PARTIAL = pa.schema([("lang", pa.string()), ("pair", pa.bool_()), ("key", pa.string()), ("n", pa.int64())])
+
+
+def counted(lines: DataFrame) -> Counts:
+    """``count_letters`` of all rows (lang, text, screened), in which lines of screened texts that show a sign of garbling are left out. Only letter pairs and known words come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm.mojibake import COUNTED_AT_ONCE, _partial, sound
+
+        words: defaultdict[str, Counter] = defaultdict(Counter)
+        for b in batches:
+            for lang, text, screened in zip(*(c.to_pylist() for c in b.columns)):
+                if not screened or text.isascii():
+                    words[lang].update(text.split())
+                else:
+                    for line in text.split("\n"):
+                        if sound(line):
+                            words[lang].update(line.split())
+            if sum(map(len, words.values())) >= COUNTED_AT_ONCE:
+                yield _partial(words)
+                words.clear()
+        if any(words.values()):
+            yield _partial(words)
+
+    parts = lines.select("lang", "text", "screened").mapInArrow(count, "lang string, pair boolean, key string, n long")
+    total = F.sum(F.when(F.col("pair"), F.col("n"))).over(W.partitionBy("lang"))
+    sums_of = parts.groupBy("lang", "pair", "key").agg(F.sum("n").alias("n")).withColumn("share", F.least(F.lit(1.0), F.lit(float(SHARES_OF)) / total))
+    rows = sums_of.filter(F.col("pair") | (F.col("n") * F.col("share") >= KNOWN_TIMES)).select("lang", "pair", "key", "n").toArrow()
+    sums: defaultdict[str, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    for b in rows.to_batches():
+        for lang, pair, key, n in zip(*(c.to_pylist() for c in b.columns)):
+            sums[lang][0 if pair else 1][(key[0], key[1]) if pair else key] = n
+    return {lang: counts_of(*c) for lang, c in sorted(sums.items())}
 
 
 def fitted(subtitles: DataFrame, catalog: DataFrame, tracks: DataFrame | None = None) -> Counts:
-    """Model counts from the bounded samples; without tracks, from the catalog alone."""
-    lines = model_lines(catalog)
-    return fit(lines, sample_lines(subtitles, tracks, sorted({x for x, _ in lines})) if tracks is not None and lines else [])
+    """Model counts from all catalog lines and captions; without tracks, from the catalog alone."""
+    lines = _labelled(catalog).withColumn("screened", F.lit(False))
+    langs = _languages(catalog)
+    if tracks is not None and langs:
+        lines = lines.unionByName(caption_lines(subtitles, tracks, langs).withColumn("screened", F.lit(True)))
+    return counted(lines)
 
 
 def repair(df: DataFrame, text: str, counts: Counts) -> DataFrame:
@@ -612,7 +705,7 @@ def repair(df: DataFrame, text: str, counts: Counts) -> DataFrame:
     Null, empty and plain ASCII texts can't be garbled and give no row. Texts of any length are processed whole; repeated rows stay repeated;
     existing columns of these names are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(counts)  # letter pairs of the bounded sample
+    shared = df.sparkSession.sparkContext.broadcast(counts)  # letter pairs and known words
     name = uuid.uuid4().hex
 
     @F.pandas_udf(_RESULT)

@@ -72,3 +72,20 @@ def test_rows_and_bounds(spark):
     rows = M.garbled_rows(subs.withColumn("repaired", subs["text"]), catalog, tracks).collect()
     assert [(r["sub_id"], r["repaired"], r["recovered"]) for r in rows] == [(1, "médecin", True)]
     assert M.garbled_rows(subs.limit(0), catalog.limit(0), tracks.limit(0)).count() == 0
+
+
+def test_model_counts_every_line(spark):
+    lines = [("fr", f"Le médecin numéro {i} cache la clé") for i in range(2500)] + [("de", "Die Köchin trägt Brot")]
+    captions = [(1 + i % 3, f"La gare {i} près du théâtre\nça “{i}” mÃ©decin" if i % 2 else f"Où {i}\xa0êtes-vous\u2003allés") for i in range(24_000)]
+    tracks = {1: "FR ", 2: "de", 3: None}
+    subs = spark.createDataFrame([(n, *c) for n, c in enumerate(captions)], "sub_id long, track_id long, text string").repartition(7)
+    got = M.fitted(subs, spark.createDataFrame(lines, "lang string, text string"), spark.createDataFrame(list(tracks.items()), "track_id long, lang string"))
+    labelled = [(tracks[k].strip().lower(), x) for k, x in captions if tracks[k]]
+    assert got == M.fit(lines, labelled)  # nothing is sampled, and the counts of the tasks add up
+    assert sum(got["fr"][0].values()) == pytest.approx(M.SHARES_OF) and "mã©decin" not in got["fr"][3]
+
+
+def test_known_words_are_a_share_of_all():
+    line = "Le médecin dessine une boîte en bois à côté de la gare"
+    small, large = (M.count_letters([("fr", line)] * n + [("fr", "mщdecin")] * (n // 2000))["fr"][3] for n in (10_000, 200_000))
+    assert set(small) == set(large) and "médecin" in large and "mщdecin" not in large  # a garbled word that grows with the data doesn't get known
