@@ -89,3 +89,45 @@ def test_known_words_are_a_share_of_all():
     line = "Le médecin dessine une boîte en bois à côté de la gare"
     small, large = (M.count_letters([("fr", line)] * n + [("fr", "mщdecin")] * (n // 2000))["fr"][3] for n in (10_000, 200_000))
     assert set(small) == set(large) and "médecin" in large and "mщdecin" not in large  # a garbled word that grows with the data doesn't get known
+
+
+def test_clean_lines_are_screened_in_bulk(repairer, monkeypatch):
+    read, tried = [], []
+    monkeypatch.setattr(M.Repairer, "reading", lambda self, text: read.append(text) or text)
+    monkeypatch.setattr(M.codecs, "charmap_encode", lambda text, *a, f=M.codecs.charmap_encode: tried.append(text) or f(text, *a))
+    clean = ["Это", "— 8 €", "сторож", "女の子が"] * 50
+    assert all(repairer.enc.wide(t) for t in clean[:3])  # a double-byte reading that costs more is no reason to read the line
+    assert repairer.texts(clean) == [(t, False, False) for t in clean]
+    odd = [x.encode("utf-8").decode("latin-1") + tail for x in TEXTS for tail in ("", " ♪", " ５", "女")]
+    odd += [x + tail for x in ("оПВЮКЭНМ РЕПЪЕР", "Le mйdecin cache la clй prиs du thйвtre") for tail in ("", " ♪", "\nЭто")]
+    assert not read and len(tried) <= 3 * len(M.MISREAD_AS)  # the readings of a line that comes often are made once
+    monkeypatch.undo()
+    assert repairer.texts(odd) == [repairer.text(t) for t in odd]
+
+
+def test_bounds_in_bulk_are_those_of_each_word(repairer):
+    words = [w for t in TEXTS for x in (t, t.encode("utf-8").decode("latin-1")) for w in M._words(x)] + ["médecin" * 300, "İa", "“été”"]
+    model = M.Model(M.fit([(k, x + ".") for k, v in LINES.items() for x in v.split(". ")] * 20))
+    one = [model.each([w])[0].tolist() for w in words]
+    model.rows.clear()
+    model.at_once = 40  # sums are cut in many places
+    assert model.each(words).tolist() == one
+    odd = [w for w in words if not w.isascii()]
+    low, costs = repairer._least(odd), repairer.model.each
+    for w, bound in zip(odd, low):
+        hows = repairer.enc.legacy("".join(sorted({c for c in w if c > "\x7f"})))
+        assert (costs([w] + [w.translate(h) for h in hows]).min(0) >= bound - 1e-9).all(), w
+
+
+def test_single_byte_readings_are_those_of_all_encodings(repairer):
+    enc = repairer.enc
+    for odd in ("é", "éè", "’“”", "Ãâ", "дж", "女"):
+        want = set()
+        for n in M.MISREAD_AS:
+            back = {c: i for i, c in enumerate(M._byte_table(n))}
+            for m in M.WRITTEN_IN:
+                new = tuple(M._strict_table(m)[back[c]] if c in back else None for c in odd)
+                if new != tuple(odd) and all(c is not None and c in enc.known for c in new):
+                    want.add(new)
+        got = [tuple(h[ord(c)] for c in odd) for h in enc.legacy(odd)]
+        assert set(got) == want and len(got) == len(want)
